@@ -10,19 +10,20 @@ from calibrant.functions.text import parse_date, parse_moneyline
 from calibrant.operators.models import MONEY
 from calibrant.schemas import GAME_KEYS
 
-_TEXT = ["moneyline1", "moneyline2"]
-
-
 def clean_lines(raw: DataFrame) -> DataFrame:
-    """Typed lines with implied probabilities; rows with anything missing or unreadable go."""
-    typed = raw.select(
+    """Typed lines with implied probabilities; rows with anything missing or unreadable go.
+
+    `inline` keeps the filter behind the parsing, which would otherwise run once more in it.
+    """
+    parsed = F.struct(
         parse_date(F.col("date")).alias("date"),
         "team1",
         "team2",
         "score1",
         "score2",
-        *(parse_moneyline(F.col(c)).alias(c) for c in _TEXT),
-    ).dropna("any")
+        *(parse_moneyline(F.col(c)).alias(c) for c in ("moneyline1", "moneyline2")),
+    )
+    typed = raw.select(F.inline(F.array(parsed))).dropna("any")
     return typed.withColumns(
         {f"moneyline_prob{side}": implied_prob(F.col(f"moneyline{side}")) for side in (1, 2)}
     )

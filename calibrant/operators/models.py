@@ -99,8 +99,7 @@ def with_all_pct(games: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> Data
     The season table joins the side rows where the running record has put them, by
     season and team, so all three measures cost the two large shuffles of the first.
     """
-    rows = running_record(games, max_group_rows).join(team_season_pct(games), ["season", "team"])
-    return fold_sides(rows, _MEASURES)
+    return fold_sides(running_record(games, max_group_rows, team_season_pct(games)), _MEASURES)
 
 
 def team_model_picks(games: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:

@@ -58,10 +58,13 @@ def _group_profile(games: DataFrame):
     )
 
 
-def running_record(games: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def running_record(
+    games: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, per_season: DataFrame | None = None
+) -> DataFrame:
     """Side rows with `wins`, `losses` and `win_pct` of the team's earlier games that season.
 
-    Games are ordered by date, then game id. With no earlier game the share is 0.
+    Games are ordered by date, then game id. With no earlier game the share is 0. The columns
+    of `per_season`, a table with one row per season and team, are added to the rows.
 
     The plain form is one window per team and season. Its tasks hold whole team-seasons, so
     it is used only after measuring that the largest one fits. Otherwise the rows are cut
@@ -75,6 +78,9 @@ def running_record(games: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> Da
     if (profile["n"] or 0) <= max_group_rows:
         window = Window.partitionBy("season", "team").orderBy(*order)
         counted = rows.select(*kept, *_before(["win", "loss"], window))
+        if per_season is not None:
+            # The window has already placed the rows by these keys.
+            counted = counted.join(per_season, ["season", "team"])
     else:
         shift = max(0, (profile["hi"] - profile["lo"]).bit_length() - ID_RANGE_BITS)
         rows = rows.withColumn("id_range", F.shiftright("game_id", shift))
@@ -83,6 +89,8 @@ def running_record(games: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> Da
         carried = pieces.select(*_SIDE, *_before(["win", "loss"], across)).withColumnsRenamed(
             {"win": "win_before", "loss": "loss_before"}
         )
+        if per_season is not None:
+            carried = carried.join(per_season, ["season", "team"])
         within = Window.partitionBy(*_SIDE).orderBy("game_id", "side")
         counted = (
             rows.select(*kept, "id_range", *_before(["win", "loss"], within))
@@ -91,6 +99,7 @@ def running_record(games: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> Da
                 *kept,
                 (F.col("win") + F.col("win_before")).alias("win"),
                 (F.col("loss") + F.col("loss_before")).alias("loss"),
+                *(c for c in carried.columns if c not in {*_SIDE, "win_before", "loss_before"}),
             )
         )
     played = F.col("win") + F.col("loss")

@@ -42,9 +42,13 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for lines that list the teams the other way round, from a later season on."""
+    rated = M.team_model_picks(games(spark, sf_dir))
+    return _join_swapped(rated, spark, sf_dir)
+
+
+def _join_swapped(table: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = L.line_picks(named_lines(spark, sf_dir, swap_sides=True))
-    rated = M.team_model_picks(games(spark, sf_dir)).where(F.col("season") >= LINES_SINCE_SEASON)
-    return L.join_lines(rated, picks, swap_sides=True)
+    return L.join_lines(table.where(F.col("season") >= LINES_SINCE_SEASON), picks, swap_sides=True)
 
 
 def tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +174,10 @@ def queries() -> dict[str, Query]:
             L.clean_lines(V.raw_lines(V.city_games(games(s, d)))), team_names(s)
         ),
         "payouts": lambda s, d: L.side_payouts(named_lines(s, d)),
-        "games_with_lines": lambda s, d: _line_games(wide(s, d)),
-        "games_with_lines_swapped": lambda s, d: _line_games(wide_swapped(s, d)),
+        "games_with_lines": lambda s, d: _line_games(
+            L.join_lines(games(s, d), L.line_picks(named_lines(s, d)))
+        ),
+        "games_with_lines_swapped": lambda s, d: _line_games(_join_swapped(games(s, d), s, d)),
         "tidy": tidy,
         "tidy_swapped": lambda s, d: to_long(wide_swapped(s, d)).drop("team"),
         "tidy_roundtrip": tidy_roundtrip,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from calibrant.operators.models import ALL_MODELS, MONEY, RATING, TEAM_MODELS, TOP_MODELS
 from calibrant.plans.catalog import LINES_SINCE_SEASON, PAGES_SINCE
 from calibrant.sources.names import TEAM_NAMES
-from calibrant.sources.order_views import FIRST_SEASON, PAGE_BASE, PLAYED_BEFORE
+from calibrant.sources.order_views import DAYS, FIRST_DAY, FIRST_SEASON, PAGE_BASE, PLAYED_BEFORE
 
 ALL_GAMES = f"""
 all_games AS (
@@ -16,10 +16,10 @@ all_games AS (
          strength / 1001e0 AS elo_prob1, 1 - strength / 1001e0 AS elo_prob2
   FROM (SELECT *, (t1 + 1 + k % 9) % 10 AS t2, 50 + (k * 31) % 901 AS strength, (k * 7919) % 1001 AS luck,
                k % 30 AS b, k % 15 AS m, date < DATE '{PLAYED_BEFORE}' AS played
-        FROM (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS date,
-                     CAST(YEAR(o_orderdate) + CASE WHEN MONTH(o_orderdate) >= 10 THEN 1 ELSE 0 END AS INT) AS season,
-                     o_custkey // 100 AS lg, o_custkey % 10 AS t1
-              FROM orders)))"""
+        FROM (SELECT k, date, CAST(YEAR(date) + CASE WHEN MONTH(date) >= 10 THEN 1 ELSE 0 END AS INT) AS season, lg, t1
+              FROM (SELECT o_orderkey AS k, DATE '{FIRST_DAY}' + CAST(o_orderkey % {DAYS} AS INT) AS date,
+                           o_orderkey // {DAYS} AS lg, o_custkey % 10 AS t1
+                    FROM orders))))"""
 
 GAMES = f"""
 games AS (SELECT * FROM all_games WHERE date < DATE '{PLAYED_BEFORE}' AND season >= {FIRST_SEASON})"""

@@ -1,7 +1,8 @@
 """Input tables of the engine, derived from an `orders` table.
 
-Every order is one game. A hundred neighboring customers form a league of ten teams, so teams
-and games both grow with the data. See FIXTURES.md.
+Every order is one game. Each run of order keys as long as the calendar is a league of ten
+teams that plays one game a day, so a team plays at most once a day, and leagues, teams and
+games all grow with the data. See FIXTURES.md.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from calibrant.sources.names import TEAM_NAMES
 
+FIRST_DAY = "1995-01-01"
+DAYS = 2404
 PLAYED_BEFORE = "2001-07-01"
 FIRST_SEASON = 1995
 PAGE_BASE = "https://odds.example.com/?date="
@@ -33,13 +36,12 @@ def games(orders: DataFrame) -> DataFrame:
     played = F.col("date") < F.lit(PLAYED_BEFORE).cast("date")
 
     def team(number: Column) -> Column:
-        league = F.floor(customer / 100).cast("string")
-        return F.concat(F.lit("L"), league, F.lit("T"), number.cast("string"))
+        return F.concat(F.lit("L"), F.floor(k / DAYS).cast("string"), F.lit("T"), number.cast("string"))
 
     def score(extra: Column) -> Column:
         return F.when(played, (90 + k % 30 + extra).cast("int"))
 
-    return orders.withColumn("date", F.to_date("o_orderdate")).select(
+    return orders.withColumn("date", F.date_add(F.lit(FIRST_DAY).cast("date"), (k % DAYS).cast("int"))).select(
         k.alias("game_id"),
         "date",
         season.cast("int").alias("season"),
@@ -57,7 +59,7 @@ def _club(code: Column) -> Column:
 
 
 def team_names(games: DataFrame) -> DataFrame:
-    """Names of all teams but the last of every tenth league, whose lines must fall out."""
+    """Names of all teams but one of every tenth league, whose lines must fall out."""
     return (
         games.select(F.explode(F.array("team1", "team2")).alias("code"))
         .distinct()
@@ -89,7 +91,7 @@ def raw_lines(named_games: DataFrame, swap_sides: bool = False) -> DataFrame:
     line1 = F.when(p >= 0.5, F.concat(F.lit("-"), on)).otherwise(F.concat(F.lit("+"), against))
     line2 = F.when(p < 0.5, F.concat(F.lit("-"), against)).otherwise(F.concat(F.lit("+"), on))
     own, other = ("2", "1") if swap_sides else ("1", "2")
-    return named_games.where(F.col("score1").isNotNull()).select(
+    line = F.struct(
         F.when(k % 2 == 0, day.cast("string")).otherwise(slashed).alias("date"),
         F.col("team1").alias(f"team{own}"),
         F.col("team2").alias(f"team{other}"),
@@ -98,6 +100,8 @@ def raw_lines(named_games: DataFrame, swap_sides: bool = False) -> DataFrame:
         F.when(k % 53 == 0, F.lit("PK")).otherwise(line1).alias(f"moneyline{own}"),
         F.when(k % 59 != 0, line2).alias(f"moneyline{other}"),
     )
+    # A generated row, like a stored one, is computed once, not again in each later filter.
+    return named_games.where(F.col("score1").isNotNull()).select(F.inline(F.array(line)))
 
 
 def stored_pages(orders: DataFrame) -> DataFrame:

@@ -19,39 +19,44 @@ def page_urls(games: DataFrame, base: str, since: str) -> DataFrame:
 
 def _open_tag(tag: str, css_class: str) -> str:
     """Pattern of an opening tag whose class list has the class."""
-    return rf"""(?is)<{tag}\b(?=[^>]*\sclass\s*=\s*(?:"(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"|'(?:[^']*\s)?{css_class}(?:\s[^']*)?'|{css_class}[\s>]))[^>]*>"""
-
-
-def _element(text: Column) -> Column:
-    """Up to the `</div>` that closes the element whose content `text` starts with."""
-    pieces = F.split(text, r"(?i)(?=<div\b|</div\s*>)")
-
-    def step(state: Column, piece: Column) -> Column:
-        tag = F.lower(F.substring(piece, 1, 5))
-        depth = state["depth"] + F.when(tag == "</div", -1).when(tag.startswith("<div"), 1).otherwise(0)
-        after = F.struct(depth.alias("depth"), (state["pieces"] + (depth > 0).cast("int")).alias("pieces"))
-        return F.when(state["depth"] > 0, after).otherwise(state)
-
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("pieces"))
-    inside = F.aggregate(pieces, start, step)["pieces"]
-    return F.array_join(F.slice(pieces, 1, inside), "")
+    return rf"""<(?i:{tag})\b(?=[^>]*\s(?i:class)\s*=\s*["']?(?:[^"'>]*\s)?{css_class}["'\s>])[^>]*>"""
 
 
 def _texts(text: Column, tag: str, css_class: str) -> Column:
-    """Text of every such element, in order, inner tags removed."""
-    found = F.regexp_extract_all(text, F.lit(_open_tag(tag, css_class) + rf"(.*?)</{tag}\s*>"), F.lit(1))
-    return F.transform(found, _plain)
+    """Content of every such element, in order."""
+    return F.regexp_extract_all(text, F.lit(_open_tag(tag, css_class) + rf"((?s:.*?))</(?i:{tag})\s*>"), F.lit(1))
 
 
 # Character references of HTML; the ampersand comes last.
-_REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+_REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
-def _plain(text: Column) -> Column:
-    plain = F.regexp_replace(text, r"(?s)<[^>]*>", "")
+def _plain(content: Column) -> Column:
+    """Text of an element's content: inner tags dropped, character references resolved."""
+    text = F.regexp_replace(content, r"<[^>]*>", "")
+    plain = text
     for reference, character in _REFERENCES:
         plain = F.replace(plain, F.lit(reference), F.lit(character))
-    return plain
+    return F.when(text.contains("&"), plain).otherwise(text)
+
+
+def _divs(text: Column) -> Column:
+    """The text cut ahead of every opening and closing `div` tag."""
+    return F.split(text, r"(?=</?(?i:div)\b)")
+
+
+def _inside(pieces: Column) -> Column:
+    """The pieces up to the `</div>` that closes the element whose content they are."""
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(F.substring(piece, 2, 1) == "/", -1).otherwise(1)
+        after = F.struct(depth.alias("depth"), (state["length"] + (depth > 0).cast("int")).alias("length"))
+        return F.when(state["depth"] > 0, after).otherwise(state)
+
+    # The first piece lies ahead of any tag.
+    start = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("length"))
+    tags = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.array_join(F.slice(pieces, 1, F.aggregate(tags, start, step)["length"]), "")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -61,23 +66,32 @@ def page_rows(pages: DataFrame) -> DataFrame:
     come from its first book only, so a book with one line does not borrow from the next.
     """
     html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
-    blocks = F.split(html, _open_tag("div", "holder-complete"))
-    block = pages.select(F.explode(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))).alias("rest")).select(
-        _element(F.col("rest")).alias("block")
+    opened = F.split(html, _open_tag("div", "holder-complete"))
+    blocks = (
+        pages.select(opened.alias("opened"))
+        .select(F.explode(F.slice("opened", 2, F.greatest(F.size("opened") - 1, F.lit(0)))).alias("rest"))
+        .select(_divs(F.col("rest")).alias("pieces"))
+        .select(_inside(F.col("pieces")).alias("block"))
     )
     status = F.regexp_extract_all("block", F.lit(f"({_open_tag('div', 'status-complete')})"), F.lit(1))
     book = F.split("block", _open_tag("div", "eventLine-book"), 3)
-    fields = block.select(
-        F.transform(
-            status, lambda tag: F.regexp_extract(tag, r"""(?is)\srel\s*=\s*["']?(\d{4}[-/]\d{1,2}[-/]\d{1,2})""", 1)
-        ).alias("dates"),
-        _texts(F.col("block"), "span", "team-name").alias("teams"),
-        _texts(F.col("block"), "span", "current-score").alias("scores"),
-        _texts(_element(F.coalesce(F.get(book, F.lit(1)), F.lit(""))), "div", "eventLine-book-value").alias("lines"),
+    fields = (
+        blocks.select(
+            F.explode(status).alias("status"),
+            _texts(F.col("block"), "span", "team-name").alias("teams"),
+            _texts(F.col("block"), "span", "current-score").alias("scores"),
+            _divs(F.coalesce(F.get(book, F.lit(1)), F.lit(""))).alias("book"),
+        )
+        .withColumn("lines", _texts(_inside(F.col("book")), "div", "eventLine-book-value"))
     )
-    columns = [F.get("teams", F.lit(i)).alias(f"team{i + 1}") for i in (0, 1)]
-    columns += [parse_number(F.get("scores", F.lit(i))).alias(f"score{i + 1}") for i in (0, 1)]
-    columns += [parse_moneyline(F.get("lines", F.lit(i))).alias(f"moneyline{i + 1}") for i in (0, 1)]
-    return fields.select(F.explode("dates").alias("day"), *columns).select(
-        parse_date(F.replace("day", F.lit("/"), F.lit("-"))).alias("date"), *(f"{c}{i}" for c in ("team", "score", "moneyline") for i in (1, 2))
+    day = F.regexp_extract("status", r"""\s(?i:rel)\s*=\s*["']?(\d{4}[-/]\d{1,2}[-/]\d{1,2})""", 1)
+
+    def both(name: str, found: str, parse) -> list[Column]:
+        return [parse(_plain(F.get(found, F.lit(i)))).alias(f"{name}{i + 1}") for i in (0, 1)]
+
+    return fields.select(
+        parse_date(F.replace(day, F.lit("/"), F.lit("-"))).alias("date"),
+        *both("team", "teams", lambda text: text),
+        *both("score", "scores", parse_number),
+        *both("moneyline", "lines", parse_moneyline),
     )
