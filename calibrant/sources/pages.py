@@ -41,8 +41,8 @@ def _plain(content: Column) -> Column:
 
 
 def _divs(text: Column) -> Column:
-    """The text cut ahead of every opening and closing `div` tag."""
-    return F.split(text, r"(?=</?(?i:div)\b)")
+    """The text cut ahead of every opening and closing `div` tag; the first piece has no tag."""
+    return F.split(F.concat(F.lit(" "), text), r"(?=</?(?i:div)\b)")
 
 
 def _inside(pieces: Column) -> Column:
@@ -53,7 +53,6 @@ def _inside(pieces: Column) -> Column:
         after = F.struct(depth.alias("depth"), (state["length"] + (depth > 0).cast("int")).alias("length"))
         return F.when(state["depth"] > 0, after).otherwise(state)
 
-    # The first piece lies ahead of any tag.
     start = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("length"))
     tags = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
     return F.array_join(F.slice(pieces, 1, F.aggregate(tags, start, step)["length"]), "")
