@@ -104,10 +104,7 @@ def raw_lines(named_games: DataFrame, swap_sides: bool = False) -> DataFrame:
     return named_games.where(F.col("score1").isNotNull()).select(F.inline(F.array(line)))
 
 
-def stored_pages(orders: DataFrame) -> DataFrame:
-    """Odds pages, one per day and `PAGE_BLOCKS` order keys; some blocks are still pending."""
-    k, customer, day = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
-
+def _block(k: Column, customer: Column, day: Column) -> Column:
     def club(number: Column) -> Column:
         return F.concat(F.lit('<span class="team-name">Club '), (number % 50).cast("string"), F.lit("</span>"))
 
@@ -117,7 +114,7 @@ def stored_pages(orders: DataFrame) -> DataFrame:
     def value(line: Column) -> Column:
         return F.concat(F.lit('<div class="eventLine-book-value">'), line, F.lit("</div>"))
 
-    block = F.concat(
+    return F.concat(
         F.lit('<div class="holder-complete"><div class="'),
         F.when(k % 41 == 0, F.lit("status-pending")).otherwise(F.lit("status-complete")),
         F.lit('" rel="'),
@@ -134,14 +131,24 @@ def stored_pages(orders: DataFrame) -> DataFrame:
         value(F.lit("-999")),
         F.lit("</div></div>"),
     )
+
+
+def stored_pages(orders: DataFrame) -> DataFrame:
+    """Odds pages, one per day and `PAGE_BLOCKS` order keys; some blocks are still pending."""
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    html = F.transform("entries", lambda entry: _block(entry["k"], entry["customer"], F.col("date")))
     return (
-        orders.select(day.alias("date"), F.floor(k / PAGE_BLOCKS).alias("part"), k.alias("k"), block.alias("block"))
+        orders.select(
+            day.alias("date"),
+            F.floor(k / PAGE_BLOCKS).alias("part"),
+            F.struct(k.alias("k"), F.col("o_custkey").alias("customer")).alias("entry"),
+        )
         .groupBy("date", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("k", "block"))).alias("blocks"))
+        .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
         .select(
             "date",
             "part",
             F.concat(F.lit(PAGE_BASE), F.date_format("date", "yyyyMMdd")).alias("url"),
-            F.array_join(F.col("blocks.block"), "").alias("html"),
+            F.array_join(html, "").alias("html"),
         )
     )

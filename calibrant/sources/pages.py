@@ -19,7 +19,8 @@ def page_urls(games: DataFrame, base: str, since: str) -> DataFrame:
 
 def _open_tag(tag: str, css_class: str) -> str:
     """Pattern of an opening tag whose class list has the class."""
-    return rf"""<(?i:{tag})\b(?=[^>]*\s(?i:class)\s*=\s*["']?(?:[^"'>]*\s)?{css_class}["'\s>])[^>]*>"""
+    attribute = r"""\s(?:[^>]*?\s)?(?i:class)\s*=\s*["']?(?:[^"'>]*?\s)?"""
+    return rf"""<(?i:{tag}){attribute}{css_class}(?=["'\s>])[^>]*>"""
 
 
 def _texts(text: Column, tag: str, css_class: str) -> Column:
@@ -33,7 +34,7 @@ _REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("
 
 def _plain(content: Column) -> Column:
     """Text of an element's content: inner tags dropped, character references resolved."""
-    text = F.regexp_replace(content, r"<[^>]*>", "")
+    text = F.when(content.contains("<"), F.regexp_replace(content, r"<[^>]*>", "")).otherwise(content)
     plain = text
     for reference, character in _REFERENCES:
         plain = F.replace(plain, F.lit(reference), F.lit(character))
@@ -64,7 +65,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     A block without a finished status gives no row. Fields that a block lacks are null; lines
     come from its first book only, so a book with one line does not borrow from the next.
     """
-    html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
+    html = F.regexp_replace("html", r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)", "")
     opened = F.split(html, _open_tag("div", "holder-complete"))
     blocks = (
         pages.select(opened.alias("opened"))

@@ -46,14 +46,17 @@ def played_games(games: DataFrame, before: str, first_season: int) -> DataFrame:
 def read_games_csv(spark: SparkSession, path: str, before: str, first_season: int) -> DataFrame:
     """Games from a CSV file; rows are numbered in file order if it has no `game_id`.
 
-    The numbers are only used to order and to tell apart games, never to match tables.
+    The numbered rows are stored: numbers given anew in each use of the table could differ,
+    because the file may be split differently when executors come or go.
     """
     header = spark.read.option("header", True).csv(path).columns
     fields = [f for f in GAMES if f.name in header or f.name != "game_id"]
     games = played_games(read_csv(spark, path, T.StructType(fields)), before, first_season)
-    if "game_id" not in games.columns:
-        games = games.withColumn("game_id", F.monotonically_increasing_id())
-    return games.select(*GAMES.names)
+    if "game_id" in games.columns:
+        return games
+    stored = shared_folder(spark, "games")
+    games.withColumn("game_id", F.monotonically_increasing_id()).select(*GAMES.names).write.parquet(stored)
+    return spark.read.schema(GAMES).parquet(stored)
 
 
 def read_lines_csv(spark: SparkSession, path: str) -> DataFrame:
