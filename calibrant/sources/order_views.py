@@ -134,14 +134,16 @@ def _block(k: Column, customer: Column, day: Column) -> Column:
 
 
 def stored_pages(orders: DataFrame) -> DataFrame:
-    """Odds pages, one per day and `PAGE_BLOCKS` order keys; some blocks are still pending."""
+    """Odds pages, one per day and `PAGE_BLOCKS` order keys; some blocks are still pending.
+
+    Blocks are written out ahead of the shuffle, so that its partitions are sized by page text.
+    """
     k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
-    html = F.transform("entries", lambda entry: _block(entry["k"], entry["customer"], F.col("date")))
     return (
         orders.select(
             day.alias("date"),
             F.floor(k / PAGE_BLOCKS).alias("part"),
-            F.struct(k.alias("k"), F.col("o_custkey").alias("customer")).alias("entry"),
+            F.struct(k.alias("k"), _block(k, F.col("o_custkey"), day).alias("block")).alias("entry"),
         )
         .groupBy("date", "part")
         .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
@@ -149,6 +151,6 @@ def stored_pages(orders: DataFrame) -> DataFrame:
             "date",
             "part",
             F.concat(F.lit(PAGE_BASE), F.date_format("date", "yyyyMMdd")).alias("url"),
-            F.array_join(html, "").alias("html"),
+            F.array_join(F.col("entries.block"), "").alias("html"),
         )
     )
