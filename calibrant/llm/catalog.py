@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import packing, token_counts, token_file
+from calibrant.llm import exact_dedup, packing, quality_gam, token_counts, token_file
 from calibrant.llm.common import table
 from calibrant.llm.word_tokens import vocabulary_path
 from calibrant.sources.tables import shared_folder
@@ -29,9 +29,20 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(WORDS))
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_gam.score_documents(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
+
+
+def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("at")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_token_binary": token_binary,
         "op3_token_counts": counts,
+        "op5_quality_gam": quality,
+        "op9_exact_dedup": exact_copies,
         "op10_best_fit_packing": packed,
     }

@@ -3,5 +3,17 @@
 from __future__ import annotations
 
 
+EXACT_DEDUP = """
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), g AS (
+  SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t
+)
+SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
+FROM n JOIN g USING (t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_dedup": EXACT_DEDUP}
