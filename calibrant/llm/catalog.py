@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import exact_dedup, packing, quality_gam, token_counts, token_file
+from calibrant.llm import exact_dedup, ngram_join, packing, quality_gam, token_counts, token_file
 from calibrant.llm.common import table
 from calibrant.llm.word_tokens import vocabulary_path
 from calibrant.sources.tables import shared_folder
@@ -38,11 +38,17 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("at")
 
 
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_token_binary": token_binary,
         "op3_token_counts": counts,
         "op5_quality_gam": quality,
+        "op8_ngram_jaccard_join": near_copies,
         "op9_exact_dedup": exact_copies,
         "op10_best_fit_packing": packed,
     }
