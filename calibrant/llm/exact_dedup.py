@@ -24,8 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from calibrant.llm.common import stored
 from calibrant.sources.tables import shared_folder
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore."
+_ROCKSDB = {
+    "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Without this each partition's store reserves several MB of disk for its logs.
+    "rocksdb.allowFAllocate": "false",
+}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Files of digests that one micro-batch of the stream takes.
@@ -59,12 +63,14 @@ def located(docs: DataFrame) -> tuple[DataFrame, Column]:
 
 @contextmanager
 def _rocksdb(spark: SparkSession):
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(_STATE + k, None) for k in _ROCKSDB}
+    for k, value in _ROCKSDB.items():
+        spark.conf.set(_STATE + k, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, value in before.items():
+            spark.conf.unset(_STATE + k) if value is None else spark.conf.set(_STATE + k, value)
 
 
 def update_state(spark: SparkSession, digests: str, checkpoint: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
