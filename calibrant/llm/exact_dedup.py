@@ -18,10 +18,9 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from calibrant.llm.common import stored
+from calibrant.llm.common import located, stored
 from calibrant.sources.tables import shared_folder
 
 _STATE = "spark.sql.streaming.stateStore."
@@ -47,20 +46,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def located(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """The documents and the column that says where each row is; other tables are stored first."""
-
-    def place(table: DataFrame) -> Column:
-        file = table.metadataColumn("_metadata")
-        return F.struct(file["file_path"].alias("file"), file["row_index"].alias("row"))
-
-    try:
-        docs.select(place(docs).alias("at"))
-    except AnalysisException:
-        docs = stored(docs, "dedup-input")
-    return docs, place(docs)
-
-
 @contextmanager
 def _rocksdb(spark: SparkSession):
     before = {k: spark.conf.get(_STATE + k, None) for k in _ROCKSDB}
