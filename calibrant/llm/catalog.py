@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import exact_dedup, ngram_join, packing, quality_gam, substrings, token_counts, token_file
+from calibrant.llm import exact_dedup, ngram_join, packing, personal_data, quality_gam, substrings, token_counts, token_file
 from calibrant.llm.common import table
 from calibrant.llm.word_tokens import vocabulary_path
 from calibrant.sources.tables import shared_folder
@@ -47,11 +47,16 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_token_binary": token_binary,
         "op3_token_counts": counts,
         "op5_quality_gam": quality,
+        "op6_personal_data": personal,
         "op7_substring_dedup": repeats,
         "op8_ngram_jaccard_join": near_copies,
         "op9_exact_dedup": exact_copies,

@@ -6,19 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import packing
+from calibrant.llm import exact_dedup, ngram_join, packing, personal_data, quality_gam
 from calibrant.llm.catalog import WORDS
 from calibrant.llm.common import stored, table
 from calibrant.llm.word_tokens import vocabulary_path
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality_gam.good_documents(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id."""
+    return exact_dedup.kept_documents(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates the one with the least id."""
+    return ngram_join.one_per_group(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, spans of personal data replaced by their kind."""
+    return personal_data.masked_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document's tokens goes."""
     return packing.pack_documents(docs, vocabulary_path(WORDS))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("best-fit packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("PII", mask_personal_data),
+    ("best-fit packing", pack),
+]
 
-# Token ids and trained scores are beyond SQL.
+# Trained scores and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
