@@ -130,7 +130,8 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     """`digest` and `comp` of all classes that share a prefix with another one."""
     keyed = classes.select("digest", F.explode("keys").alias("key"))
     runs = keyed.groupBy("key").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = keyed.join(runs, "key").select(F.col("digest").alias("a"), F.col("first").alias("b"))
+    # Both sides grow with the corpus; a merge join at every size keeps the plan the same.
+    edges = keyed.join(runs.hint("merge"), "key").select(F.col("digest").alias("a"), F.col("first").alias("b"))
     found = components(edges, "candidates")
     return found.select(F.col("node").alias("digest"), F.col("root").alias("comp")).union(
         found.select(F.col("root").alias("digest"), F.col("root").alias("comp")).distinct()
@@ -251,7 +252,7 @@ def near_groups(
 def _checked(docs: DataFrame, placed: DataFrame, n: int, threshold: float) -> DataFrame:
     """Links and local root of every candidate class, once per pair of blocks it is in."""
     expected = placed.select(F.col("doc_id").alias("id"), "digest", "comp", "blocks")
-    texts = documents(docs).join(expected, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    texts = documents(docs).join(expected.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows with the same id, those that have the n-gram set looked for."""
