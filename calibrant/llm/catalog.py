@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import exact_dedup, ngram_join, packing, personal_data, quality_gam, substrings, token_counts, token_file
+from calibrant.llm import exact_dedup, ngram_join, packing, personal_data, quality_gam, quality_rules, substrings, token_counts, token_file
 from calibrant.llm.common import table
 from calibrant.llm.word_tokens import vocabulary_path
 from calibrant.sources.tables import shared_folder
@@ -51,10 +51,15 @@ def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("at", "removed_lines")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_token_binary": token_binary,
         "op3_token_counts": counts,
+        "op4_quality_rules": rules,
         "op5_quality_gam": quality,
         "op6_personal_data": personal,
         "op7_substring_dedup": repeats,
