@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import exact_dedup, ngram_join, packing, personal_data, quality_gam, quality_rules, substrings, token_counts, token_file
+from calibrant.llm import exact_dedup, ngram_join, packing, personal_data, pieces, quality_gam, quality_rules, substrings, token_counts, token_file
 from calibrant.llm.common import table
 from calibrant.llm.word_tokens import vocabulary_path
 from calibrant.sources.tables import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORDS = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +56,13 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("at", "removed_lines")
 
 
+def piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary_path(PIECES))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_sentencepiece": piece_ids,
         "op2_token_binary": token_binary,
         "op3_token_counts": counts,
         "op4_quality_rules": rules,
