@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from calibrant.llm.common import documents, slices, spread, stored
 
 WINDOW = 50
+# Bytes of text in work at once; the hashes of its words take some thirty times as much.
+SLICE_CHARS = 4_000_000
 _NO_ID = -(1 << 63)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -78,8 +80,12 @@ def least_halves(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.
     if not len(starts):
         return starts, np.zeros(0, np.uint64), starts
     hashes = words.run_hash(np.arange(len(words.flat) - half + 1), half)
-    choices = np.lib.stride_tricks.sliding_window_view(hashes, window - half + 1)
-    at = np.unique(starts + choices[starts].argmin(axis=1))
+    least, at = hashes[starts], starts.copy()
+    for step in range(1, window - half + 1):
+        value = hashes[starts + step]
+        lower = value < least
+        least[lower], at[lower] = value[lower], starts[lower] + step
+    at = np.unique(at)
     return at, hashes[at], np.searchsorted(words.offsets, at, side="right") - 1
 
 
@@ -108,7 +114,7 @@ def half_windows(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=SLICE_CHARS):
                 texts = part.column("text")
                 words = Words(texts)
                 at, hashes, text = least_halves(words, window)
@@ -155,7 +161,7 @@ def full_windows(docs: DataFrame, spots: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=SLICE_CHARS):
                 words = Words(part.column("text"))
                 starts, rows = [], []
                 for i, found in enumerate(_spots(part.column("spots"))):
@@ -210,7 +216,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=SLICE_CHARS):
                 words = Words(part.column("text"), hashed=False)
                 n = np.diff(words.offsets)
                 removed, kept = [], []
