@@ -47,11 +47,15 @@ def beta_quantile(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def exact_limits(hits: np.ndarray, trials: np.ndarray, level: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper limit of the success rate for `hits` out of `trials`."""
+    """Lower and upper limit of the success rate for `hits` out of `trials`.
+
+    Not a number unless 0 <= hits <= trials.
+    """
     x, n = hits.astype(float), trials.astype(float)
     tail = (1 - level) / 2
-    low, high = np.zeros_like(x), np.ones_like(x)
-    some, rest = x > 0, x < n
+    possible = (x >= 0) & (x <= n)
+    low, high = np.where(possible, 0.0, np.nan), np.where(possible, 1.0, np.nan)
+    some, rest = possible & (x > 0), possible & (x < n)
     low[some] = beta_quantile(tail, x[some], (n - x + 1)[some])
     # The upper limit is the lower limit of the misses, seen from the other end.
     high[rest] = 1 - beta_quantile(tail, (n - x)[rest], (x + 1)[rest])
@@ -67,4 +71,4 @@ BAND = T.StructType(
 def exact_band(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for hits, trials in batches:
         low, high = exact_limits(hits.to_numpy(), trials.to_numpy())
-        yield pd.DataFrame({"conf_low": low, "conf_high": high})
+        yield pd.DataFrame({"conf_low": low, "conf_high": high}).astype(object).where(~np.isnan([low, high]).T, None)

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from calibrant.functions.nulls import strict_mean
 
-# A team-season up to this size is sorted and summed by one task; see `running_record`.
-MAX_GROUP_ROWS = 4_000_000
-# Larger ones are cut by day and by equal ranges of game ids, at most 2 to this power of them.
-ID_RANGE_BITS = 15
-
-_SIDE = ["season", "team", "date", "id_range"]
+# A piece holds the games of a team's day whose ids agree but for this many low bits. Ids are
+# unique, so no piece has more games than this allows, wherever the ids lie.
+PIECE_BITS = 12
+# Stands for a missing id in the order of games: ahead of all others.
+_FIRST_ID = -(1 << 62)
 
 
 def sides(games: DataFrame) -> DataFrame:
@@ -28,6 +27,13 @@ def sides(games: DataFrame) -> DataFrame:
     return games.select(*games.columns, F.inline(both))
 
 
+def _with_previous(seasons: DataFrame) -> DataFrame:
+    """`prev_avg`: the share of the team's row before, whatever year that is; 0.5 if none."""
+    return seasons.withColumn(
+        "prev_avg", F.lag("current_avg", 1, 0.5).over(Window.partitionBy("team").orderBy("season"))
+    )
+
+
 def team_season_pct(games: DataFrame) -> DataFrame:
     """Win share per team and season, and that of the team's season before (0.5 if none).
 
@@ -38,71 +44,80 @@ def team_season_pct(games: DataFrame) -> DataFrame:
         .groupBy("team", "season")
         .agg(strict_mean(F.col("win").cast("double")).alias("current_avg"))
     )
-    earlier = F.lag("current_avg", 1, 0.5).over(Window.partitionBy("team").orderBy("season"))
-    return seasons.withColumn("prev_avg", earlier)
+    return _with_previous(seasons)
 
 
-def _before(values: list[str], window) -> list[Column]:
-    rows = window.rowsBetween(Window.unboundedPreceding, -1)
-    return [F.coalesce(F.sum(v).over(rows), F.lit(0)).alias(v) for v in values]
+def _sums(window, suffix: str = "") -> list[Column]:
+    return [F.coalesce(F.sum(c).over(window), F.lit(0)).alias(c + suffix) for c in ("win", "loss")]
 
 
-def _group_profile(games: DataFrame):
-    """Rows of the largest team-season and the span of game ids, by one pre-aggregated pass."""
-    return (
-        sides(games.select("game_id", "season", "team1", "team2", "score1", "score2"))
-        .groupBy("season", "team")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("game_id").alias("lo"), F.max("game_id").alias("hi"))
-        .agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .first()
+def _team_days(pieces: DataFrame, with_seasons: bool) -> DataFrame:
+    """What a team has won and lost ahead of each of its days in a season: a few hundred rows each."""
+    days = pieces.groupBy("day").agg(*(F.sum(c).alias(c) for c in ("win", "loss", "games", "known")))
+    days = days.withColumn("team_season", F.struct("day.season", "day.team"))
+    whole = Window.partitionBy("team_season")
+    ahead = whole.orderBy("day.date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(
+        "day",
+        "team_season",
+        *_sums(ahead, "_day"),
+        *(F.sum(c).over(whole).alias(f"all_{c}") for c in ("win", "games", "known")),
     )
+    if not with_seasons:
+        return days.drop("team_season", "all_win", "all_games", "all_known")
+    share = F.when(F.col("all_known") == F.col("all_games"), F.col("all_win").cast("double") / F.col("all_games"))
+    days = days.withColumn("current_avg", share)
+    seasons = days.select("team_season", "current_avg").distinct().select(
+        "team_season", "team_season.season", "team_season.team", "current_avg"
+    )
+    previous = _with_previous(seasons).select("team_season", "prev_avg")
+    return days.join(previous, "team_season").drop("team_season", "all_win", "all_games", "all_known")
 
 
-def running_record(
-    games: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, per_season: DataFrame | None = None
-) -> DataFrame:
+def running_record(games: DataFrame, with_seasons: bool = False) -> DataFrame:
     """Side rows with `wins`, `losses` and `win_pct` of the team's earlier games that season.
 
-    Games are ordered by date, then game id. With no earlier game the share is 0. The columns
-    of `per_season`, a table with one row per season and team, are added to the rows.
+    Earlier means an earlier day, or the same day and a smaller game id; a missing day or id
+    comes first. With no earlier game the share is 0. Rows with the same id, such as a game
+    listed twice, do not count for each other. Missing seasons and teams are a season and a team
+    like others. No row is dropped or added.
 
-    The plain form is one window per team and season. Its tasks hold whole team-seasons, so
-    it is used only after measuring that the largest one fits. Otherwise the rows are cut
-    by day and id range: each piece is summed on its own, the pieces' totals (few per
-    team-season, whatever its size) are summed in order, and both are added. Results are equal.
+    Rows are cut into pieces by team, day and id. Each is summed by itself; the totals of the
+    pieces are summed in order, first over the pieces of a day, then over the days of a season,
+    so no task needs all games of a team. `with_seasons` adds the team's share of the whole
+    season and of the season before, taken from the same totals.
     """
-    profile = _group_profile(games)
-    rows = sides(games).withColumn("loss", (~F.col("win")).cast("int")).withColumn("win", F.col("win").cast("int"))
-    kept = [c for c in rows.columns if c not in ("win", "loss")]
-    order = ["date", "game_id", "side"]
-    if (profile["n"] or 0) <= max_group_rows:
-        window = Window.partitionBy("season", "team").orderBy(*order)
-        counted = rows.select(*kept, *_before(["win", "loss"], window))
-        if per_season is not None:
-            # The window has already placed the rows by these keys.
-            counted = counted.join(per_season, ["season", "team"])
-    else:
-        shift = max(0, (profile["hi"] - profile["lo"]).bit_length() - ID_RANGE_BITS)
-        rows = rows.withColumn("id_range", F.shiftright("game_id", shift))
-        pieces = rows.groupBy(*_SIDE).agg(F.sum("win").alias("win"), F.sum("loss").alias("loss"))
-        across = Window.partitionBy("season", "team").orderBy("date", "id_range")
-        carried = pieces.select(*_SIDE, *_before(["win", "loss"], across)).withColumnsRenamed(
-            {"win": "win_before", "loss": "loss_before"}
+    order_id = F.coalesce("game_id", F.lit(_FIRST_ID))
+    rows = (
+        sides(games)
+        .withColumn("loss", (~F.col("win")).cast("int"))
+        .withColumn("win", F.col("win").cast("int"))
+        .withColumn("order_id", order_id)
+        # Keys in a struct also join where one of them is missing.
+        .withColumn("piece", F.struct("season", "team", "date", F.shiftright("order_id", PIECE_BITS).alias("ids")))
+    )
+    kept = [c for c in rows.columns if c not in ("win", "loss", "order_id", "piece")]
+    within = Window.partitionBy("piece").orderBy("order_id").rangeBetween(Window.unboundedPreceding, -1)
+    counted = rows.select(*kept, "piece", *_sums(within))
+
+    pieces = (
+        rows.groupBy("piece")
+        .agg(
+            F.sum("win").alias("win"),
+            F.sum("loss").alias("loss"),
+            F.count(F.lit(1)).alias("games"),
+            F.count("win").alias("known"),
         )
-        if per_season is not None:
-            carried = carried.join(per_season, ["season", "team"])
-        within = Window.partitionBy(*_SIDE).orderBy("game_id", "side")
-        counted = (
-            rows.select(*kept, "id_range", *_before(["win", "loss"], within))
-            .join(carried, _SIDE)
-            .select(
-                *kept,
-                (F.col("win") + F.col("win_before")).alias("win"),
-                (F.col("loss") + F.col("loss_before")).alias("loss"),
-                *(c for c in carried.columns if c not in {*_SIDE, "win_before", "loss_before"}),
-            )
+        .withColumn("day", F.struct("piece.season", "piece.team", "piece.date"))
+    )
+    ahead = Window.partitionBy("day").orderBy("piece.ids").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pieces.select("piece", "day", *_sums(ahead, "_piece")).join(_team_days(pieces, with_seasons), "day").drop("day")
+    wins, losses = (F.col(c) + F.col(f"{c}_piece") + F.col(f"{c}_day") for c in ("win", "loss"))
+    seasons = ["current_avg", "prev_avg"] if with_seasons else []
+    return (
+        counted.join(carried, "piece")
+        .select(*kept, wins.alias("wins"), losses.alias("losses"), *seasons)
+        .withColumn(
+            "win_pct", F.coalesce(F.try_divide(F.col("wins").cast("double"), F.col("wins") + F.col("losses")), F.lit(0.0))
         )
-    played = F.col("win") + F.col("loss")
-    return counted.withColumn(
-        "win_pct", F.coalesce(F.try_divide(F.col("win").cast("double"), played), F.lit(0.0))
-    ).withColumnsRenamed({"win": "wins", "loss": "losses"})
+    )

@@ -34,10 +34,10 @@ def named_lines(spark: SparkSession, sf_dir: str, swap_sides: bool = False) -> D
     return L.name_lines(L.clean_lines(raw), V.team_names(played))
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games that have a line, with the picks of all five models."""
+def wide(spark: SparkSession, sf_dir: str, models: list[str] | None = None) -> DataFrame:
+    """Games that have a line, with the picks of the models wanted, all five by default."""
     picks = L.line_picks(named_lines(spark, sf_dir))
-    return L.join_lines(M.team_model_picks(games(spark, sf_dir)), picks)
+    return L.join_lines(M.team_model_picks(games(spark, sf_dir), models), picks)
 
 
 def wide_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def _join_swapped(table: DataFrame, spark: SparkSession, sf_dir: str) -> DataFra
     return L.join_lines(table.where(F.col("season") >= LINES_SINCE_SEASON), picks, swap_sides=True)
 
 
-def tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_long(wide(spark, sf_dir))
+def tidy(spark: SparkSession, sf_dir: str, models: list[str] | None = None) -> DataFrame:
+    return to_long(wide(spark, sf_dir, models), models)
 
 
 def team_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,8 @@ def rating_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return games(spark, sf_dir).select(*GAME, M.rating_pick()).select(*GAME, f"{M.RATING}.*")
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnings.daily_winnings(winnings.settle_joined(wide(spark, sf_dir)))
+def daily(spark: SparkSession, sf_dir: str, models: list[str] | None = None) -> DataFrame:
+    return winnings.daily_winnings(winnings.settle_joined(wide(spark, sf_dir, models), models))
 
 
 # Sums of doubles depend on their order in the last bits; they are shown to four places.
@@ -78,8 +78,8 @@ def live_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_record_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The running record the way outsized team-seasons are computed."""
-    return _record(R.running_record(games(spark, sf_dir), max_group_rows=0))
+    """The running record with the season shares that come from its totals dropped again."""
+    return _record(R.running_record(games(spark, sf_dir), with_seasons=True))
 
 
 def _record(rows: DataFrame) -> DataFrame:
@@ -121,6 +121,27 @@ def tidy_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_tidy_csv(spark, path)
 
 
+def games_csv_unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games stored without ids and numbered on reading; the numbers are left out again."""
+    path = S.shared_folder(spark, "games-csv-plain")
+    S.write_csv(all_games(spark, sf_dir).drop("game_id"), path)
+    return S.read_games_csv(spark, path, V.PLAYED_BEFORE, V.FIRST_SEASON).drop("game_id")
+
+
+def slate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the games' odds pages, stored as lines, read back and cleaned."""
+    path = S.shared_folder(spark, "slate-lines")
+    S.write_csv(P.page_rows(V.game_pages(V.club_games(games(spark, sf_dir)))), path)
+    return L.clean_lines(S.read_lines_csv(spark, path))
+
+
+def games_with_slate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games with the lines their odds pages show."""
+    played = games(spark, sf_dir)
+    named = L.name_lines(slate_lines(spark, sf_dir), V.team_names(played))
+    return _line_games(L.join_lines(played, L.line_picks(named)))
+
+
 def settled_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     payouts = L.side_payouts(named_lines(spark, sf_dir))
     return winnings.settle_with_payouts(tidy(spark, sf_dir), payouts)
@@ -186,20 +207,19 @@ def queries() -> dict[str, Query]:
         "accuracy_by_season_model": lambda s, d: reports.accuracy_by(tidy(s, d), "season", "model"),
         "accuracy_against_overall": lambda s, d: reports.accuracy_against_overall(tidy(s, d)),
         "calibration_by_model": lambda s, d: reports.calibration(tidy(s, d), "model"),
-        "calibration_top": lambda s, d: reports.calibration(
-            tidy(s, d).where(F.col("model").isin(M.TOP_MODELS)), "model"
-        ),
+        "calibration_top": lambda s, d: reports.calibration(tidy(s, d, M.TOP_MODELS), "model"),
         "settled_bets": settled_bets,
         "daily_winnings": lambda s, d: _money(daily(s, d)),
         "cumulative_winnings": lambda s, d: _money(winnings.cumulative_winnings(daily(s, d))),
-        "winnings_series": lambda s, d: _money(
-            winnings.cumulative_winnings(daily(s, d)).where(F.col("model").isin(M.TOP_MODELS))
-        ),
+        "winnings_series": lambda s, d: _money(winnings.cumulative_winnings(daily(s, d, M.TOP_MODELS))),
         "annual_winnings": lambda s, d: _money(winnings.annual_winnings(daily(s, d))),
         "total_winnings": lambda s, d: _money(winnings.total_winnings(winnings.annual_winnings(daily(s, d)))),
         "slate_urls": slate_urls,
         "slate_rows": slate_rows,
         "slate_rows_wanted": slate_rows_wanted,
+        "slate_lines_csv": slate_lines,
+        "games_with_slate_lines": games_with_slate_lines,
+        "games_csv_unnumbered": games_csv_unnumbered,
     }
 
 

@@ -192,11 +192,18 @@ blocks AS (
   SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS k, o_custkey AS c FROM orders WHERE o_orderkey % 41 <> 0)"""
 
 PAGE_ROWS = """SELECT date, 'Club ' || c % 50 AS team1, 'Club ' || (c + 1) % 50 AS team2,
-  CAST(90 + k % 30 AS DOUBLE) AS score1, CAST(90 + k % 29 AS DOUBLE) AS score2,
+  CAST(90 + k % 30 AS INT) AS score1, CAST(90 + k % 29 AS INT) AS score2,
   CAST(-110 - k % 90 AS DOUBLE) AS moneyline1,
   CASE WHEN k % 37 <> 0 THEN CAST(100 + k % 80 AS DOUBLE) END AS moneyline2
 FROM blocks"""
 
+SLATE_CLEAN = f"""
+clean AS (
+  SELECT *, {_implied('moneyline1')} AS moneyline_prob1, {_implied('moneyline2')} AS moneyline_prob2
+  FROM (SELECT date, team1, team2, score1, score2, CAST(-110 - game_id % 90 AS DOUBLE) AS moneyline1,
+               CAST(100 + game_id % 80 AS DOUBLE) AS moneyline2
+        FROM clubs WHERE score1 IS NOT NULL AND game_id % 41 <> 0 AND game_id % 37 <> 0))"""
+
 # Limits by bisection on the summed binomial tails, in logarithms scaled by the largest term.
 BANDS = """
 trials AS (SELECT *, CAST(TRUNC(games * prob) AS BIGINT) AS x FROM buckets),
@@ -269,6 +276,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "games_scan": _with(base, "SELECT * FROM games"),
         "games_csv": _with(base, "SELECT * FROM games"),
+        "games_csv_unnumbered": _with(base, "SELECT * EXCLUDE (game_id) FROM games"),
+        "slate_lines_csv": _with([*base, CLUBS, SLATE_CLEAN], clean),
+        "games_with_slate_lines": _with(
+            [*base, CLUBS, SLATE_CLEAN, NAMED, LINE_PICKS, _joined(False).replace("FROM rated g", "FROM games g")], line_games
+        ),
         "sides": _with([*base, SIDES], "SELECT * FROM sides"),
         "favorite_elo": _with(base, _ELO),
         "accuracy_overall_elo": _with(base, f"SELECT AVG({_WON}) AS accuracy FROM ({_ELO})"),

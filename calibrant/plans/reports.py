@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from calibrant.functions.binomial import exact_band
 from calibrant.functions.nulls import strict_mean, strict_sum
 from calibrant.functions.rounding import prob_bucket
+from calibrant.shipping import ship_package
 
 
 def overall_accuracy(picks: DataFrame) -> DataFrame:
@@ -25,9 +26,25 @@ def model_ranking(picks: DataFrame) -> DataFrame:
 
 
 def accuracy_against_overall(picks: DataFrame) -> DataFrame:
-    """Accuracy per season and model beside the model's accuracy over all seasons."""
-    return accuracy_by(picks, "season", "model").join(
-        accuracy_by(picks, "model").withColumnRenamed("accuracy", "overall"), "model"
+    """Accuracy per season and model beside the model's accuracy over all seasons.
+
+    The picks are counted once; the totals of a model are sums over its few seasons.
+    """
+    won = F.col("won").cast("bigint")
+    counted = picks.groupBy("season", "model").agg(
+        F.sum(won).alias("wins"), F.count("won").alias("known"), F.count(F.lit(1)).alias("games")
+    )
+
+    def share(total) -> Column:
+        """Wins by games over the rows that `total` sums, missing unless every result is known."""
+        return F.when(total("known") == total("games"), total("wins").cast("double") / total("games"))
+
+    over = Window.partitionBy("model")
+    return counted.select(
+        "model",
+        "season",
+        share(F.col).alias("accuracy"),
+        share(lambda c: F.sum(c).over(over)).alias("overall"),
     )
 
 
@@ -44,7 +61,11 @@ def calibration(picks: DataFrame, *keys: str, skip_missing: bool = False) -> Dat
 
 
 def with_bands(buckets: DataFrame) -> DataFrame:
-    """95% exact limits around the expected, not the observed, number of wins of each bucket."""
+    """95% exact limits around the expected, not the observed, number of wins of each bucket.
+
+    Missing where that number is missing or not between 0 and the number of games.
+    """
+    ship_package(buckets.sparkSession)
     expected = (F.col("games").cast("double") * F.col("prob")).cast("bigint")
     return buckets.withColumn("band", exact_band(expected, F.col("games"))).select(
         *buckets.columns, "band.conf_low", "band.conf_high"

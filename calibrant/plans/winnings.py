@@ -15,12 +15,15 @@ def settle_with_payouts(tidy: DataFrame, payouts: DataFrame) -> DataFrame:
     return tidy.join(payouts, [*GAME_KEYS, "team"]).withColumn("payout", settle(F.col("won"), F.col("payout")))
 
 
-def settle_joined(wide: DataFrame) -> DataFrame:
-    """The same from games that carry their line's payouts, without joining them again."""
+def settle_joined(wide: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """The same from games that carry their line's payouts, without joining them again.
+
+    `models` are the ones to settle, all that the games have by default.
+    """
     profit = F.when(F.col("team") == F.col("team1"), F.col("payout1")).when(
         F.col("team") == F.col("team2"), F.col("payout2")
     )
-    long = to_long(wide, keep=["payout1", "payout2"])
+    long = to_long(wide, models, keep=["payout1", "payout2"])
     return long.where(profit.isNotNull()).select(
         *(c for c in long.columns if not c.startswith("payout")), settle(F.col("won"), profit).alias("payout")
     )
@@ -31,9 +34,9 @@ def daily_winnings(settled: DataFrame) -> DataFrame:
 
 
 def cumulative_winnings(daily: DataFrame) -> DataFrame:
-    """Running total in each season. The groups hold one row per day."""
+    """Running total in each season, missing from the first missing day on. The groups hold one row per day."""
     so_far = Window.partitionBy("season", "model").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.withColumn("cumulative_winnings", F.sum("days_winnings").over(so_far))
+    return daily.withColumn("cumulative_winnings", strict_sum(F.col("days_winnings"), so_far))
 
 
 def annual_winnings(daily: DataFrame) -> DataFrame:

@@ -64,4 +64,17 @@ PAGES = T.StructType(
     ]
 )
 
+# Rows read from pages: lines whose text is parsed already.
+PAGE_ROWS = T.StructType(
+    [
+        T.StructField("date", T.DateType()),
+        T.StructField("team1", T.StringType()),
+        T.StructField("team2", T.StringType()),
+        T.StructField("score1", T.IntegerType()),
+        T.StructField("score2", T.IntegerType()),
+        T.StructField("moneyline1", T.DoubleType()),
+        T.StructField("moneyline2", T.DoubleType()),
+    ]
+)
+
 GAME_KEYS = ["date", "team1", "team2", "score1", "score2"]

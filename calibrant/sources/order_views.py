@@ -104,12 +104,12 @@ def raw_lines(named_games: DataFrame, swap_sides: bool = False) -> DataFrame:
     return named_games.where(F.col("score1").isNotNull()).select(F.inline(F.array(line)))
 
 
-def _block(k: Column, customer: Column, day: Column) -> Column:
-    def club(number: Column) -> Column:
-        return F.concat(F.lit('<span class="team-name">Club '), (number % 50).cast("string"), F.lit("</span>"))
+def _block(k: Column, day: Column, teams: tuple[Column, Column], scores: tuple[Column, Column]) -> Column:
+    def club(name: Column) -> Column:
+        return F.concat(F.lit('<span class="team-name">'), name, F.lit("</span>"))
 
     def score(number: Column) -> Column:
-        return F.concat(F.lit('<span class="current-score">'), (90 + number).cast("string"), F.lit("</span>"))
+        return F.concat(F.lit('<span class="current-score">'), number.cast("string"), F.lit("</span>"))
 
     def value(line: Column) -> Column:
         return F.concat(F.lit('<div class="eventLine-book-value">'), line, F.lit("</div>"))
@@ -120,10 +120,10 @@ def _block(k: Column, customer: Column, day: Column) -> Column:
         F.lit('" rel="'),
         day.cast("string"),
         F.lit('"></div>'),
-        club(customer),
-        score(k % 30),
-        club(customer + 1),
-        score(k % 29),
+        club(teams[0]),
+        score(scores[0]),
+        club(teams[1]),
+        score(scores[1]),
         F.lit('<div class="eventLine-book">'),
         value(F.concat(F.lit("-"), (110 + k % 90).cast("string"))),
         F.when(k % 37 == 0, F.lit("")).otherwise(value(F.concat(F.lit("+"), (100 + k % 80).cast("string")))),
@@ -133,18 +133,10 @@ def _block(k: Column, customer: Column, day: Column) -> Column:
     )
 
 
-def stored_pages(orders: DataFrame) -> DataFrame:
-    """Odds pages, one per day and `PAGE_BLOCKS` order keys; some blocks are still pending.
-
-    Blocks are written out ahead of the shuffle, so that its partitions are sized by page text.
-    """
-    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+def _pages(blocks: DataFrame) -> DataFrame:
+    """One page per date and `PAGE_BLOCKS` keys, from rows of date, k and block."""
     return (
-        orders.select(
-            day.alias("date"),
-            F.floor(k / PAGE_BLOCKS).alias("part"),
-            F.struct(k.alias("k"), _block(k, F.col("o_custkey"), day).alias("block")).alias("entry"),
-        )
+        blocks.select("date", F.floor(F.col("k") / PAGE_BLOCKS).alias("part"), F.struct("k", "block").alias("entry"))
         .groupBy("date", "part")
         .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
         .select(
@@ -154,3 +146,22 @@ def stored_pages(orders: DataFrame) -> DataFrame:
             F.array_join(F.col("entries.block"), "").alias("html"),
         )
     )
+
+
+def stored_pages(orders: DataFrame) -> DataFrame:
+    """Odds pages, one per day and `PAGE_BLOCKS` order keys; some blocks are still pending.
+
+    Blocks are written out ahead of the shuffle, so that its partitions are sized by page text.
+    """
+    k, customer, day = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
+    teams = tuple(F.concat(F.lit("Club "), ((customer + i) % 50).cast("string")) for i in (0, 1))
+    block = _block(k, day, teams, (90 + k % 30, 90 + k % 29))
+    return _pages(orders.select(day.alias("date"), k.alias("k"), block.alias("block")))
+
+
+def game_pages(named_games: DataFrame) -> DataFrame:
+    """The odds pages of all played games, under the names and scores the games have."""
+    k = F.col("game_id")
+    block = _block(k, F.col("date"), (F.col("team1"), F.col("team2")), (F.col("score1"), F.col("score2")))
+    played = named_games.where(F.col("score1").isNotNull())
+    return _pages(played.select("date", k.alias("k"), block.alias("block")))

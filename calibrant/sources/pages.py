@@ -62,7 +62,8 @@ def page_rows(pages: DataFrame) -> DataFrame:
     """One row per finished game on the pages.
 
     A block without a finished status gives no row. Fields that a block lacks are null; lines
-    come from its first book only, so a book with one line does not borrow from the next.
+    come from its first book only, so a book with one line does not borrow from the next. The rows
+    have the columns of `schemas.PAGE_ROWS`; scores are whole numbers, as lines and games have them.
     """
     html = F.regexp_replace("html", r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)", "")
     opened = F.split(html, _open_tag("div", "holder-complete"))
@@ -91,6 +92,6 @@ def page_rows(pages: DataFrame) -> DataFrame:
     return fields.select(
         parse_date(F.replace(day, F.lit("/"), F.lit("-"))).alias("date"),
         *both("team", "teams", lambda text: text),
-        *both("score", "scores", parse_number),
+        *both("score", "scores", lambda text: parse_number(text).try_cast("int")),
         *both("moneyline", "lines", parse_moneyline),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from calibrant.functions.text import missing_to_null
 from calibrant.schemas import GAMES, LINES_RAW, TIDY
@@ -21,21 +21,36 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header, columns picked by name and cast to the schema.
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Names in the header of the first file; a column without a name has the empty one."""
+    first = spark.read.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path).first()
+    return [name or "" for name in first] if first else []
 
-    Column order and further columns in the file do not matter. Fields that do not fit their
-    type become null.
-    """
-    text = (
-        spark.read.option("header", True)
+
+def csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of CSV files as text. Each file's header is compared with the first one's."""
+    fields = [T.StructField(name, T.StringType()) for name in csv_header(spark, path)]
+    return (
+        spark.read.schema(T.StructType(fields))
+        .option("header", True)
+        .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .csv(path)
     )
-    return text.select(
-        *(missing_to_null(F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name) for f in schema)
-    )
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV with a header, columns picked by name and cast to the schema.
+
+    Column order and further columns do not matter, but all files of a folder must have the same
+    header; reading one with another fails. Fields that do not fit their type become null.
+    """
+    return csv_text(spark, path).select(*_typed(schema))
+
+
+def _typed(fields) -> list[Column]:
+    return [missing_to_null(F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name) for f in fields]
 
 
 def played_games(games: DataFrame, before: str, first_season: int) -> DataFrame:
@@ -44,19 +59,38 @@ def played_games(games: DataFrame, before: str, first_season: int) -> DataFrame:
 
 
 def read_games_csv(spark: SparkSession, path: str, before: str, first_season: int) -> DataFrame:
-    """Games from a CSV file; rows are numbered in file order if it has no `game_id`.
+    """Games from CSV files; rows without a `game_id` column are numbered.
 
-    The numbered rows are stored: numbers given anew in each use of the table could differ,
-    because the file may be split differently when executors come or go.
+    Numbers follow the names of the files and the order of the rows in them. The rows are stored
+    first: numbers given anew in each use of the table could differ, because a file may be
+    split differently when executors come or go.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    fields = [f for f in GAMES if f.name in header or f.name != "game_id"]
-    games = played_games(read_csv(spark, path, T.StructType(fields)), before, first_season)
-    if "game_id" in games.columns:
-        return games
+    if "game_id" in csv_header(spark, path):
+        return played_games(read_csv(spark, path, GAMES), before, first_season)
+    text = csv_text(spark, path)
+    fields = [f for f in GAMES if f.name != "game_id"]
+    games = text.select(
+        *_typed(fields),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
     stored = shared_folder(spark, "games")
-    games.withColumn("game_id", F.monotonically_increasing_id()).select(*GAMES.names).write.parquet(stored)
-    return spark.read.schema(GAMES).parquet(stored)
+    games.write.parquet(stored)
+    return played_games(_numbered(spark.read.schema(games.schema).parquet(stored)), before, first_season)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`game_id` from file, start of the block in it and row within the block.
+
+    A row takes a byte at least, so the start of its block plus its place in the block is below
+    the start of the next block. 2^40 bytes of each file are told apart, and 2^23 files.
+    """
+    blocks = rows.groupBy("file", "block").agg(F.min("row").alias("first"))
+    files = rows.select("file").distinct().withColumn("n", F.row_number().over(Window.orderBy("file")) - 1)
+    starts = blocks.join(files, "file")
+    number = F.shiftleft(F.col("n").cast("long"), 40) + F.col("block") + F.col("row") - F.col("first")
+    return rows.join(starts, ["file", "block"]).withColumn("game_id", number).select(*GAMES.names)
 
 
 def read_lines_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,9 @@
+import os
+import subprocess
+import sys
 from fractions import Fraction
 from math import comb
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -49,3 +53,28 @@ def test_band_column(spark):
         pytest.approx((0.34754715, 0.93326049), abs=1e-8),
         pytest.approx((0.0, 0.30849711), abs=1e-8),
     ]
+
+
+def test_impossible_buckets_have_no_limits(spark):
+    rows = [(-1, 10), (11, 10), (None, 10), (0, 0)]
+    table = spark.createDataFrame(rows, "x long, n long").select(exact_band(F.col("x"), F.col("n")).alias("b"))
+    assert [tuple(r) for r in table.select("b.*").collect()] == [(None, None), (None, None), (None, None), (0.0, 1.0)]
+
+
+WORKER = """
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as contract
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+print("ROWS", contract.queries()["calibration_bands"](spark, "/root/testdata/sf0.001").count())
+"""
+
+
+def test_band_runs_in_a_session_started_elsewhere(tmp_path):
+    root = str(Path(__file__).resolve().parent.parent)
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", WORKER.format(root=root)], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=300
+    )
+    assert "ROWS 46" in done.stdout, done.stderr[-2000:]

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from calibrant.operators import models as M, records as R
+from calibrant.operators import records as R
 from calibrant.plans import catalog as C
 
 SF = "/root/testdata/sf0.001"
@@ -25,7 +25,10 @@ def plan_of(spark, capsys):
 
 
 # Those that write a table first read it back with a plan of no interest.
-NAMES = sorted(set(C.queries()) - {"games_csv", "lines_csv", "tidy_roundtrip", "tidy_csv"})
+STORING = {
+    "games_csv", "games_csv_unnumbered", "lines_csv", "tidy_roundtrip", "tidy_csv", "slate_lines_csv", "games_with_slate_lines",
+}
+NAMES = sorted(set(C.queries()) - STORING)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -44,20 +47,32 @@ def test_rated_games_reach_the_line_join_without_another_shuffle(spark, plan_of)
     assert plan.count("Exchange hashpartitioning(game_id") == 0
 
 
-def test_running_record_takes_one_shuffle(spark, plan_of):
-    assert plan_of(lambda: R.running_record(C.games(spark, SF))).count("Exchange") == 1
+def test_side_rows_are_placed_once_and_by_piece(spark, plan_of):
+    """All else that the record shuffles is totals, without the columns of the games."""
+    plan = plan_of(lambda: R.running_record(C.games(spark, SF), with_seasons=True))
+    rows = [line for line in plan.splitlines() if "Exchange hashpartitioning(piece," in line]
+    assert len(rows) == 3  # the rows, their totals, and the totals carried back
+    assert "Exchange hashpartitioning(season, team," not in plan
+    windows = [line for line in plan.splitlines() if "windowspecdefinition(" in line and "piece, order_id" in line]
+    assert len(windows) == 1
 
 
-def test_season_shares_join_where_the_record_left_the_rows(spark, plan_of):
-    plan = plan_of(lambda: M.with_all_pct(C.games(spark, SF)))
-    assert plan.count("Exchange hashpartitioning(season, team,") == 2  # the rows and the season table
+def test_three_models_build_no_running_record(spark, plan_of):
+    full = plan_of(lambda: C.tidy(spark, SF)).count("FileScan")
+    for name in ("calibration_top", "winnings_series"):
+        plan = plan_of(lambda: C.queries()[name](spark, SF))
+        assert "order_id" not in plan and plan.count("FileScan") <= full
 
 
-def test_split_record_never_sorts_rows_by_team_season_alone(spark, plan_of):
-    plan = plan_of(lambda: M.with_all_pct(C.games(spark, SF), max_group_rows=0))
-    windows = [line for line in plan.splitlines() if "Window [sum(win)" in line]
-    assert len(windows) == 2
-    assert any("windowspecdefinition(season, team, date, id_range, game_id" in w for w in windows)
+def test_models_are_built_once_for_the_overall_accuracy(spark, plan_of):
+    full = plan_of(lambda: C.tidy(spark, SF)).count("FileScan")
+    assert plan_of(lambda: C.queries()["accuracy_against_overall"](spark, SF)).count("FileScan") == full
+
+
+def test_crosswalk_is_the_small_side(spark, plan_of):
+    plan = plan_of(lambda: C.queries()["lines_named_cities"](spark, SF), broadcast=True)
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("BuildRight") == 2
+    assert "Exchange hashpartitioning" not in plan
 
 
 def test_accuracy_counts_before_it_shuffles(spark, plan_of):

@@ -97,3 +97,10 @@ def test_years_are_calendar_years(spark):
 def test_totals_are_sorted_best_first(daily):
     totals = [r["total_winnings"] for r in winnings.total_winnings(winnings.annual_winnings(daily)).collect()]
     assert totals == sorted(totals, reverse=True) and len(totals) == 5
+
+
+def test_running_winnings_stay_missing_after_a_missing_day(spark):
+    rows = [(2001, datetime.date(2001, 1, i), "m", x) for i, x in ((1, 5.0), (2, None), (3, 7.0))]
+    daily = spark.createDataFrame(rows, "season int, date date, model string, days_winnings double")
+    running = winnings.cumulative_winnings(daily).orderBy("date").collect()
+    assert [r["cumulative_winnings"] for r in running] == [5.0, None, None]

@@ -2,7 +2,7 @@ import datetime
 import os
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from calibrant.operators import records as R
 from calibrant.sources import order_views as V, tables as S
@@ -43,6 +43,31 @@ def test_games_without_ids_are_numbered_in_file_order(spark, games_csv):
     assert R.running_record(games.dropna(subset=["score1", "score2"])).count() == 2
 
 
+def test_numbers_follow_file_names_and_rows(spark, tmp_path):
+    """Spark reads the largest file first and cuts it; the numbers do not show that."""
+    head = "date,season,team1,team2,score1,score2,elo_prob1,elo_prob2\n"
+    names = ["a", "b", "c"]
+    for name, count in zip(names, (3, 400, 40)):
+        rows = "".join(f"2001-01-01,2001,{name}{i},x,{i},1,0.5,0.5\n" for i in range(count))
+        (tmp_path / f"{name}.csv").write_text(head + rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        games = S.read_games_csv(spark, str(tmp_path), before="2002-01-01", first_season=1995)
+        got = [(r["team1"][0], r["score1"]) for r in games.orderBy("game_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(n, i) for n, count in zip(names, (3, 400, 40)) for i in range(count)]
+
+
+def test_a_folder_with_two_headers_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,team1,team2\n2001-01-01,A,B\n")
+    (tmp_path / "b.csv").write_text("date,team2,team1\n2001-01-02,A,B\n")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("date", "team1", "team2")])
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        S.read_csv(spark, str(tmp_path), schema).collect()
+
+
 def test_lines_csv_without_its_row_numbers(spark, tmp_path):
     path = tmp_path / "lines.csv"
     path.write_text(
@@ -81,12 +106,18 @@ def test_tidy_is_stored_by_season(spark, tmp_path, capsys):
     assert "PartitionFilters: [isnotnull(season" in capsys.readouterr().out
 
 
-def test_shared_folder_follows_the_session(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    one, two = S.shared_folder(spark, "x"), S.shared_folder(spark, "x")
+class Session:
+    def __init__(self, **settings):
+        self.conf = {k.replace("_", "."): v for k, v in settings.items()}
+
+
+def test_shared_folder_follows_the_session():
+    one, two = (S.shared_folder(Session(spark_master="local[2]"), "x") for _ in "ab")
     assert one != two
-    if base:
-        assert one.startswith(base)
+    configured = Session(spark_master="spark://host:7077", spark_checkpoint_dir="hdfs://store/shared/")
+    assert S.shared_folder(configured, "x").startswith("hdfs://store/shared/x-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        S.shared_folder(Session(spark_master="spark://host:7077"), "x")
 
 
 def test_a_team_plays_at_most_once_a_day(spark):
