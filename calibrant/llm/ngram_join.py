@@ -36,7 +36,7 @@ from calibrant.llm.word_tokens import word_occurrences
 N, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, TARGET_RECALL = 28, 10, 0.999
 BLOCK_DOCS, BLOCK_BYTES = 96, 16_000_000
-_CODES, _HASHED = 2048, 16_384
+_CODES, _HASHED = 2048, 4096
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 

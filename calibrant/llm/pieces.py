@@ -32,7 +32,7 @@ from calibrant.llm.word_tokens import IdStore
 
 SPACE = "▁"
 # Words and pairs that a worker remembers; full tables are emptied.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 2_000_000
+CACHE_WORDS, CACHE_PAIRS = 150_000, 2_000_000
 _NONE = -1
 
 

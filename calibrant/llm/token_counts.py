@@ -21,7 +21,7 @@ from calibrant.llm.word_tokens import PartEncoder, cuts_at_spaces, load, plain,
 
 LIMIT_TOKENS = 2048
 # Counts of merged parts that a worker remembers; a full table is emptied.
-CACHE_PARTS = 500_000
+CACHE_PARTS = 250_000
 
 
 def proven_strings(path: str) -> list[str]:

@@ -19,7 +19,7 @@ from calibrant.llm.common import spread
 
 END_ID = 1
 # Parts of words that a worker remembers; a full table is emptied, which costs time and nothing else.
-CACHE_PARTS = 500_000
+CACHE_PARTS = 250_000
 _JOINED = 512
 
 # Latin-1 words: no character here is white space, combines, or lowers depending on its neighbors.
