@@ -5,8 +5,8 @@ Pieces are dealt by a hash into shards of about SHARD_PIECES rows; a shard is pa
 task, longest piece first, each into the open sequence with the least room that still takes it.
 A segment tree over the possible amounts of room finds that sequence in one descent.
 
-Best fit leaves at most one sequence per shard that is not more than half full. Those few are
-packed again, as pieces of their own, by the same step over fewer shards, until one shard is left.
+A shard leaves a few sequences that are not full. Their pieces are packed again, by the same step
+over fewer shards, until one shard is left or trying again does not help.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from calibrant.llm.word_tokens import END_ID, word_tokens
 
 CAPACITY = 4096
 SHARD_PIECES = 1024
+# A sequence filled to this share is left as it is.
+FULL = 0.99
 
 
 class RoomTree:
@@ -132,35 +134,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     Pieces with equal ids and numbers are separate rows and each get a place.
     """
     columns = pieces.columns
-    keyed = pieces.withColumn("key", F.concat_ws(":", *(F.col(c).cast("string") for c in columns)))
-    placed = stored(_pack_shards(keyed, pieces.count(), capacity, shard_pieces), "packed")
-    # Where each little-filled bin goes; as many rows as shards, fewer in every round.
-    loose = placed.where(F.col("fill") * 2 <= capacity).select("bin", F.col("fill").alias("length")).distinct()
-    moves, n = None, loose.count()
-    level = 1
-    while n > 1:
-        items = loose.select(F.col("bin").cast("string").alias("key"), "bin", "length").withColumnRenamed("bin", "own")
-        round_ = stored(_pack_shards(items, n, capacity, shard_pieces), "packed-loose").select(
-            "own", (-F.col("bin") - level * F.lit(1 << 56) - 1).alias("into"), "at", "fill"
+    todo = pieces.withColumn("key", F.concat_ws(":", *(F.col(c).cast("string") for c in columns)))
+    n, level, packed = pieces.count(), 0, None
+    while True:
+        placed = stored(_pack_shards(todo, n, capacity, shard_pieces), "packed")
+        loose = placed.where(F.col("fill") < FULL * capacity)
+        left = loose.count()
+        # Lengths that fill no sequence well are not packed better by trying again.
+        last = n <= shard_pieces or left == 0 or 10 * left > 9 * n
+        done = (placed if last else placed.where(F.col("fill") >= FULL * capacity)).select(
+            *columns, (F.lit(level << 56) + F.col("bin")).alias("sequence_id"), F.col("at").alias("offset")
         )
-        moves = (
-            round_.select("own", "into", "at")
-            if moves is None
-            else moves.join(round_.select(F.col("own").alias("into"), F.col("into").alias("next"), F.col("at").alias("more")), "into", "left")
-            .select("own", F.coalesce("next", "into").alias("into"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at"))
-        )
-        if n <= shard_pieces:
-            break
-        loose = round_.where(F.col("fill") * 2 <= capacity).select(F.col("into").alias("bin"), F.col("fill").alias("length")).distinct()
-        n, level = loose.count(), level + 1
-    if moves is None:
-        return placed.select(*columns, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
-    moved = moves.withColumnsRenamed({"own": "bin", "at": "shift"})
-    return placed.join(moved, "bin", "left").select(
-        *columns,
-        F.coalesce("into", "bin").alias("sequence_id"),
-        (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"),
-    )
+        packed = done if packed is None else packed.union(done)
+        if last:
+            return packed
+        todo, n, level = loose.drop("bin", "at", "fill"), left, level + 1
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:

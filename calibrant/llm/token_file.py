@@ -39,7 +39,7 @@ def encode_levels(ids: np.ndarray) -> list[dict[str, bytes]]:
     while True:
         more = rest > 0xFF
         bits = np.packbits(more, bitorder="little")
-        per_block = np.add.reduceat(more, np.arange(0, len(more), _BLOCK)) if len(more) else np.zeros(0, np.int64)
+        per_block = np.add.reduceat(more.astype(np.int64), np.arange(0, len(more), _BLOCK)) if len(more) else np.zeros(0, np.int64)
         levels.append(
             {
                 "chunks": (rest & 0xFF).astype(np.uint8).tobytes(),
@@ -84,7 +84,7 @@ def _rank_in_block(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     padded = np.concatenate([bits, np.zeros(_BLOCK // 8, np.uint8)])
     block = padded[(at // _BLOCK * (_BLOCK // 8))[:, None] + np.arange(_BLOCK // 8)]
     marks = np.unpackbits(block, axis=1, bitorder="little")
-    return (marks * (np.arange(_BLOCK) < (at % _BLOCK)[:, None])).sum(axis=1)
+    return (marks * (np.arange(_BLOCK) < (at % _BLOCK)[:, None])).sum(axis=1, dtype=np.int64)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, segment_tokens: int):
