@@ -14,8 +14,9 @@
 4. The verified links, a spanning forest of each task, give the final components.
 
 Words are lower-cased and stripped of punctuation at both ends. A text of fewer words than n
-has one n-gram, all of them; one without words has none and no links. Missing texts are empty,
-missing ids are allowed. Rows with equal sets belong to one class, whatever their ids.
+has one n-gram, all of them; one without words has none and no links. Missing texts are empty.
+A missing id comes after all others, so a class is named by one only if none of its rows has an
+id. Rows with equal sets belong to one class, whatever their ids.
 """
 
 from __future__ import annotations
@@ -238,11 +239,12 @@ def near_groups(
         .select("digest", "doc_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "digest").alias("root"))
     )
     named = stored(grouped, "classes-linked")
-    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    in_order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    first = named.groupBy("root").agg(F.min(in_order).alias("first"))
     of_class = named.join(first, "root").select("digest", "first", "n_links", "n_copies")
     with_words = rows.where("n_grams > 0").select("doc_id", "digest").join(of_class, "digest")
     alone = rows.where("n_grams = 0").select(
-        "doc_id", "digest", F.struct("doc_id", "digest").alias("first"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")
+        "doc_id", "digest", in_order.alias("first"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")
     )
     return with_words.select(alone.columns).union(alone).select(
         "doc_id", F.col("first.doc_id").alias("class_id"), "n_links", "n_copies", "digest", "first"
