@@ -36,7 +36,7 @@ from calibrant.llm.word_tokens import word_occurrences
 
 N, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, TARGET_RECALL = 28, 10, 0.999
-BLOCK_DOCS, BLOCK_BYTES = 96, 16_000_000
+BLOCK_DOCS, BLOCK_BYTES = 96, 6_000_000
 _CODES, _HASHED = 2048, 4096
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -182,7 +182,8 @@ def _roots(links: np.ndarray) -> np.ndarray:
 def _verify(n: int, threshold: float):
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("digest").sort_values("digest", ignore_index=True)
-        links = linked(shingle_sets(pa.array(rows["text"], pa.string()), n), threshold)
+        texts = pa.RecordBatch.from_arrays([pa.array(rows["text"], pa.string())], ["text"])
+        links = linked([s for part in slices(texts) for s in shingle_sets(part.column("text"), n)], threshold)
         if rows["low"].iloc[0] != rows["high"].iloc[0]:  # two blocks: links within one are counted elsewhere
             block = rows["block"].to_numpy()
             links &= block[:, None] != block[None, :]
