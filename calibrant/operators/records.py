@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from calibrant.functions.nulls import strict_mean
 
-# A piece holds the games of a team's day whose ids agree but for this many low bits. Ids are
-# unique, so no piece has more games than this allows, wherever the ids lie.
+# A team-season with more rows than this is cut into pieces, by day and by ranges of game ids
+# that agree but for PIECE_BITS low bits. At most HOT_SEASONS are cut, the largest ones, so one that
+# is not has no more than PIECE_ROWS rows or its share, one in HOT_SEASONS, of the table.
+PIECE_ROWS = 100_000
 PIECE_BITS = 12
+HOT_SEASONS = 1024
 # Stands for a missing id in the order of games: ahead of all others.
 _FIRST_ID = -(1 << 62)
 
@@ -47,31 +50,39 @@ def team_season_pct(games: DataFrame) -> DataFrame:
     return _with_previous(seasons)
 
 
+def _hot_seasons(games: DataFrame) -> Column:
+    """Array of the team-seasons to cut, a scalar subquery: part of the plan, not a job ahead of it."""
+    teams = F.explode(F.array(*(F.struct("season", F.col(f"team{n}").alias("team")) for n in (1, 2))))
+    sizes = games.select(teams.alias("team_season")).groupBy("team_season").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.where(F.col("n") > PIECE_ROWS).orderBy(F.desc("n"), "team_season").limit(HOT_SEASONS)
+    return largest.agg(F.collect_list("team_season")).scalar()
+
+
 def _sums(window, suffix: str = "") -> list[Column]:
     return [F.coalesce(F.sum(c).over(window), F.lit(0)).alias(c + suffix) for c in ("win", "loss")]
 
 
-def _team_days(pieces: DataFrame, with_seasons: bool) -> DataFrame:
-    """What a team has won and lost ahead of each of its days in a season: a few hundred rows each."""
-    days = pieces.groupBy("day").agg(*(F.sum(c).alias(c) for c in ("win", "loss", "games", "known")))
-    days = days.withColumn("team_season", F.struct("day.season", "day.team"))
-    whole = Window.partitionBy("team_season")
-    ahead = whole.orderBy("day.date").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(
-        "day",
-        "team_season",
-        *_sums(ahead, "_day"),
-        *(F.sum(c).over(whole).alias(f"all_{c}") for c in ("win", "games", "known")),
+def _ahead(*keys: str):
+    return Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _carried(rows: DataFrame, with_seasons: bool) -> DataFrame:
+    """Per piece: what its team has won and lost ahead of it in the season, and the season shares."""
+    pieces = rows.groupBy("piece").agg(F.sum("win").alias("win"), F.sum("loss").alias("loss"))
+    pieces = pieces.withColumns(
+        {"day": F.struct("piece.season", "piece.team", "piece.date"), "ids": F.col("piece.ids")}
     )
-    if not with_seasons:
-        return days.drop("team_season", "all_win", "all_games", "all_known")
-    share = F.when(F.col("all_known") == F.col("all_games"), F.col("all_win").cast("double") / F.col("all_games"))
-    days = days.withColumn("current_avg", share)
-    seasons = days.select("team_season", "current_avg").distinct().select(
-        "team_season", "team_season.season", "team_season.team", "current_avg"
+    pieces = pieces.select("piece", "day", *_sums(_ahead("day", "ids"), "_piece"))
+    totals = [F.sum(c).alias(c) for c in ("win", "loss")]
+    days = rows.groupBy("day").agg(*totals).withColumns(
+        {"team_season": F.struct("day.season", "day.team"), "date": F.col("day.date")}
     )
-    previous = _with_previous(seasons).select("team_season", "prev_avg")
-    return days.join(previous, "team_season").drop("team_season", "all_win", "all_games", "all_known")
+    days = days.select("day", "team_season", *_sums(_ahead("team_season", "date"), "_day"))
+    if with_seasons:
+        share = strict_mean(F.col("win").cast("double")).alias("current_avg")
+        seasons = rows.groupBy(F.col("team_season")).agg(share).select("team_season", "team_season.*", "current_avg")
+        days = days.join(_with_previous(seasons).drop("season", "team"), "team_season")
+    return pieces.join(days.drop("team_season"), "day").drop("day")
 
 
 def running_record(games: DataFrame, with_seasons: bool = False) -> DataFrame:
@@ -82,41 +93,43 @@ def running_record(games: DataFrame, with_seasons: bool = False) -> DataFrame:
     listed twice, do not count for each other. Missing seasons and teams are a season and a team
     like others. No row is dropped or added.
 
-    Rows are cut into pieces by team, day and id. Each is summed by itself; the totals of the
-    pieces are summed in order, first over the pieces of a day, then over the days of a season,
-    so no task needs all games of a team. `with_seasons` adds the team's share of the whole
-    season and of the season before, taken from the same totals.
+    Rows are shuffled once, by piece, and each piece is summed in order by itself. A team's season
+    is one piece, unless it has an outsized number of rows: then each of its days, and each
+    range of ids in a day, is a piece, and only the pieces' totals are summed in order, over the
+    pieces of a day and then over the days of the season. So no task needs all games of such a team.
+    `with_seasons` adds the team's share of the whole season and of the season before.
     """
+    hot = F.array_contains(_hot_seasons(games), F.col("team_season"))
     order_id = F.coalesce("game_id", F.lit(_FIRST_ID))
+    date, ids = (F.when(F.col("hot"), c) for c in (F.col("date"), F.shiftright(order_id, PIECE_BITS)))
     rows = (
         sides(games)
         .withColumn("loss", (~F.col("win")).cast("int"))
         .withColumn("win", F.col("win").cast("int"))
-        .withColumn("order_id", order_id)
         # Keys in a struct also join where one of them is missing.
-        .withColumn("piece", F.struct("season", "team", "date", F.shiftright("order_id", PIECE_BITS).alias("ids")))
+        .withColumn("team_season", F.struct("season", "team"))
+        .withColumn("hot", hot)
+        .withColumn("piece", F.struct("season", "team", date.alias("date"), ids.alias("ids")))
+        .withColumn("day", F.struct("season", "team", date.alias("date")))
+        .withColumn("order_id", F.struct("date", order_id.alias("id")))
     )
-    kept = [c for c in rows.columns if c not in ("win", "loss", "order_id", "piece")]
-    within = Window.partitionBy("piece").orderBy("order_id").rangeBetween(Window.unboundedPreceding, -1)
-    counted = rows.select(*kept, "piece", *_sums(within))
-
-    pieces = (
-        rows.groupBy("piece")
-        .agg(
-            F.sum("win").alias("win"),
-            F.sum("loss").alias("loss"),
-            F.count(F.lit(1)).alias("games"),
-            F.count("win").alias("known"),
-        )
-        .withColumn("day", F.struct("piece.season", "piece.team", "piece.date"))
-    )
-    ahead = Window.partitionBy("day").orderBy("piece.ids").rowsBetween(Window.unboundedPreceding, -1)
-    carried = pieces.select("piece", "day", *_sums(ahead, "_piece")).join(_team_days(pieces, with_seasons), "day").drop("day")
-    wins, losses = (F.col(c) + F.col(f"{c}_piece") + F.col(f"{c}_day") for c in ("win", "loss"))
+    kept = [c for c in rows.columns if c not in ("win", "loss", "team_season", "hot", "piece", "day", "order_id")]
+    in_order = Window.partitionBy("piece").orderBy("order_id")
+    so_far = _sums(in_order.rangeBetween(Window.unboundedPreceding, Window.currentRow), "_so_far")
+    same = _sums(in_order.rangeBetween(Window.currentRow, Window.currentRow), "_same")
+    counted = rows.select(*kept, "piece", *so_far, *same)
+
+    # One piece per season has nothing ahead of it; without season shares only cut ones matter.
+    carried = _carried(rows if with_seasons else rows.where("hot"), with_seasons)
+
+    def earlier(c: str) -> Column:
+        ahead = F.coalesce(F.col(f"{c}_piece") + F.col(f"{c}_day"), F.lit(0))
+        return F.col(f"{c}_so_far") - F.col(f"{c}_same") + ahead
+
     seasons = ["current_avg", "prev_avg"] if with_seasons else []
     return (
-        counted.join(carried, "piece")
-        .select(*kept, wins.alias("wins"), losses.alias("losses"), *seasons)
+        counted.join(carried, "piece", "left")
+        .select(*kept, earlier("win").alias("wins"), earlier("loss").alias("losses"), *seasons)
         .withColumn(
             "win_pct", F.coalesce(F.try_divide(F.col("wins").cast("double"), F.col("wins") + F.col("losses")), F.lit(0.0))
         )

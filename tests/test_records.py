@@ -7,6 +7,12 @@ from calibrant import schemas
 from calibrant.operators import models as M, records as R
 
 
+@pytest.fixture(autouse=True, params=[R.PIECE_ROWS, 3], ids=["whole-seasons", "cut-seasons"])
+def piece_rows(request, monkeypatch):
+    """All tests also with every team's season cut into pieces."""
+    monkeypatch.setattr(R, "PIECE_ROWS", request.param)
+
+
 def record(games, **options):
     rows = R.running_record(games, **options).select("game_id", "side", "team", "wins", "losses", "win_pct").collect()
     return {(r["game_id"], r["side"]): tuple(r)[2:] for r in rows}
@@ -63,6 +69,13 @@ def test_record_equals_brute_force(make_games, hot_share):
     assert record(games) == brute_force(rows)
 
 
+def test_only_the_largest_seasons_are_cut(make_games, monkeypatch):
+    monkeypatch.setattr(R, "HOT_SEASONS", 2)
+    rows, games = random_games(make_games, 300, seed=4, hot_share=0.4)
+    assert len(games.select(R._hot_seasons(games).alias("hot")).first()["hot"]) <= 2
+    assert record(games) == brute_force(rows)
+
+
 @pytest.mark.parametrize("bits", [2, 12])
 def test_ids_cut_a_hot_day_into_pieces_wherever_they_lie(make_games, monkeypatch, bits):
     monkeypatch.setattr(R, "PIECE_BITS", bits)
