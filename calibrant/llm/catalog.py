@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from calibrant.llm import exact_dedup, ngram_join, packing, personal_data, pieces, quality_gam, quality_rules, substrings, token_counts, token_file
+from calibrant.llm import conversation_trie, exact_dedup, ngram_join, packing, personal_data, pieces, quality_gam, quality_rules, source_mix, substrings, token_counts, token_file
 from calibrant.llm.common import table
 from calibrant.llm.word_tokens import vocabulary_path
 from calibrant.sources.tables import shared_folder
@@ -60,6 +60,18 @@ def piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary_path(PIECES))
 
 
+def trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie_nodes(conversation_trie.rebuilt_sequences(table(spark, sf_dir, "conversations")))
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed, those that the quality classifier scores high drawn more often."""
+    docs = table(spark, sf_dir, "documents")
+    score = quality_gam.scorer(quality_gam.train(docs, table(spark, sf_dir, "labels")))
+    found = source_mix.mix(docs, score(F.coalesce("text", F.lit(""))))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": piece_ids,
@@ -72,4 +84,6 @@ def queries() -> dict[str, Query]:
         "op8_ngram_jaccard_join": near_copies,
         "op9_exact_dedup": exact_copies,
         "op10_best_fit_packing": packed,
+        "op12_conversation_trie": trie,
+        "op13_source_mix": mixed,
     }

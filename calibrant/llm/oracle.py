@@ -15,5 +15,59 @@ FROM n JOIN g USING (t)
 """
 
 
+# crc32 is spelled out, one bit of the decimal digits' bytes a step.
+CONVERSATION_TRIE = """
+WITH RECURSIVE digits AS (
+  SELECT DISTINCT conv_id, conv_id::VARCHAR AS d FROM conversations WHERE conv_id IS NOT NULL
+), crc(conv_id, d, bits, c) AS (
+  SELECT conv_id, d, 0, xor(4294967295::BIGINT, ascii(d)::BIGINT) FROM digits
+  UNION ALL
+  SELECT conv_id, d, bits + 1,
+    CASE WHEN (bits + 1) % 8 = 0 AND (bits + 1) // 8 < length(d)
+      THEN xor(CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, ascii(substr(d, (bits + 1) // 8 + 1, 1))::BIGINT)
+      ELSE CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END END
+  FROM crc WHERE bits < 8 * length(d)
+), heads AS (
+  SELECT conv_id, xor(c, 4294967295::BIGINT) % 6 AS h FROM crc WHERE bits = 8 * length(d)
+), turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), rebuilt AS (
+  SELECT h.conv_id, t.k, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.conv_id - h.conv_id % 100 AND t.k <= h.h
+  UNION ALL
+  SELECT h.conv_id, t.k + 1000000, t.role, t.text FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.k > h.h
+), placed AS (
+  SELECT conv_id, length(text) AS chars, row_number() OVER w AS depth,
+    list(struct_pack(r := role, t := text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), full_length AS (
+  SELECT h.conv_id, coalesce(max(p.depth), 0) AS n FROM heads h LEFT JOIN placed p USING (conv_id) GROUP BY 1
+), steps AS (
+  SELECT p.conv_id, p.depth, sha256(p.path::VARCHAR) AS node, p.chars, p.depth = n AS last FROM placed p JOIN full_length USING (conv_id)
+  UNION ALL
+  SELECT conv_id, 0, '', 0, n = 0 FROM full_length
+), nodes AS (
+  SELECT node, any_value(depth) AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM steps GROUP BY node
+), links AS (
+  SELECT DISTINCT c.node AS child, p.node AS parent FROM steps c JOIN steps p ON p.conv_id = c.conv_id AND p.depth = c.depth - 1
+), children AS (
+  SELECT parent AS node, count(*) AS n_children FROM links GROUP BY 1
+), inside AS (
+  SELECT DISTINCT a.node AS top, b.node FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND a.depth <= b.depth
+), subtrees AS (
+  SELECT i.top AS node, sum((n.n_convs - 1) * n.chars) AS saved_tokens, count(*) FILTER (c.node IS NULL) AS n_leaves
+  FROM inside i JOIN nodes n ON n.node = i.node LEFT JOIN children c ON c.node = i.node GROUP BY 1
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+  coalesce(c.n_children, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s USING (node) LEFT JOIN links l ON l.child = n.node LEFT JOIN nodes p ON p.node = l.parent
+  LEFT JOIN children c ON c.node = n.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": EXACT_DEDUP}
+    return {"op9_exact_dedup": EXACT_DEDUP, "op12_conversation_trie": CONVERSATION_TRIE}

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from calibrant.llm.common import documents
+from calibrant.shipping import ship_package
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
@@ -214,11 +215,17 @@ def _scores(model: Model, texts: pa.Array) -> np.ndarray:
     return model.score(np.array([features(t or "") for t in texts.to_pylist()]).reshape(-1, len(FEATURES)))
 
 
-def good_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose text reaches the threshold, with all their columns."""
+def scorer(model: Model):
+    """A function of a text column that gives scores; a missing text counts as empty."""
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(_scores(model, texts))
 
-    return docs.where(score(F.coalesce("text", F.lit(""))) >= threshold)
+    return score
+
+
+def good_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text reaches the threshold, with all their columns."""
+    ship_package(docs.sparkSession)
+    return docs.where(scorer(model)(F.coalesce("text", F.lit(""))) >= threshold)
