@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from calibrant.llm import conversation_trie, exact_dedup, ngram_join, packing, personal_data, pieces, quality_gam, quality_rules, source_mix, substrings, token_counts, token_file
+from calibrant.llm import conversation_trie, exact_dedup, ngram_join, packing, personal_data, pieces, quality_gam, quality_rules, source_mix, substrings, token_alignment, token_counts, token_file
 from calibrant.llm.common import table
 from calibrant.llm.word_tokens import vocabulary_path
 from calibrant.sources.tables import shared_folder
@@ -14,6 +14,7 @@ from calibrant.sources.tables import shared_folder
 Query = Callable[[SparkSession, str], DataFrame]
 WORDS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 
 
 def token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,11 @@ def piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary_path(PIECES))
 
 
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_alignment.align_documents(docs, vocabulary_path(BYTES), vocabulary_path(PIECES))
+
+
 def trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie_nodes(conversation_trie.rebuilt_sequences(table(spark, sf_dir, "conversations")))
 
@@ -84,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op8_ngram_jaccard_join": near_copies,
         "op9_exact_dedup": exact_copies,
         "op10_best_fit_packing": packed,
+        "op11_token_alignment": alignment,
         "op12_conversation_trie": trie,
         "op13_source_mix": mixed,
     }

@@ -33,7 +33,7 @@ from calibrant.llm.common import stored
 from calibrant.shipping import ship_package
 
 # Most members of a container, and copies of a burst container's key that members meet.
-CONTAINER, SALTS = 2048, 256
+CONTAINER, SALTS = 256, 256
 # Conversation ids in one run of a head's end digest.
 _RUN = 4096
 
@@ -319,21 +319,24 @@ def trie_nodes(members: DataFrame, container: int = CONTAINER, salts: int = SALT
     saved_tokens of its subtree; ends_sha256 of the members that end there.
     """
     ship_package(members.sparkSession)
-    rows = stored(members, "trie-conversations")
-    top = F.lit("root").cast("binary")
-    root = rows.agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first_conv")).where("n > 0")
     none = F.lit(None).cast("long")
-    root = root.select(
-        top.alias("key"), none.alias("parent_conv"), F.lit(0).cast("long").alias("chars"), "n", "first_conv",
+    # The root's name is stored with the rows, so that joins by it are joins like those below.
+    rows = stored(
+        members.select(
+            "conv_id", "turns", F.lit("root").cast("binary").alias("key"), F.lit(0).cast("long").alias("chars"),
+            F.lit(None).cast("binary").alias("parent"), none.alias("parent_conv"),
+        ),
+        "trie-conversations",
+    )
+    root = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first_conv"))
+    root = root.where(F.col("n") > container).select(
+        "key", none.alias("parent_conv"), F.lit(0).cast("long").alias("chars"), "n", "first_conv",
         F.array().cast("array<binary>").alias("trail"), F.lit(0).cast("long").alias("depth"),
     )
-    large = stored(root.where(F.col("n") > container), "trie-heads")
+    large = stored(root, "trie-heads")
     burst = not large.isEmpty()
     first = large.select("first_conv").first()["first_conv"] if burst else None
-    placed = rows.select(
-        "conv_id", "turns", top.alias("key"), F.lit(0).cast("long").alias("chars"), F.lit(None).cast("binary").alias("parent"),
-        none.alias("parent_conv"), F.lit(first).cast("long").alias("first_conv"),
-    )
+    placed = rows.withColumn("first_conv", F.lit(first).cast("long"))
     depth, heads, containers, ends = 0, None, None, None
 
     def also(all_before: DataFrame | None, more: DataFrame) -> DataFrame:
