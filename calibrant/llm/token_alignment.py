@@ -29,6 +29,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ SPACE = "▁"
 # Pairs outside the identity map whose counts are sent to all tasks, and distinct pieces and
 # characters of aligned pieces that a worker remembers; full tables are emptied.
 HEAD = 65_536
-CACHE_PIECES, CACHE_CHARS = 200_000, 40_000_000
+CACHE_PIECES, CACHE_CHARS = 300_000, 40_000_000
+# Characters that one step of a task aligns, and that one call of a library encodes, at least one text.
+_STEP, _CALL = 1_500_000, 20_000
 # Groups with more links than this are linked by distinct ids.
 _MANY = 4096
 
@@ -78,8 +81,8 @@ class SideA:
         for token, i in vocab.items():
             self.bytes[i] = token.encode() if i in special else bytes(place[c] for c in token)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[int]:
+        return [i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids]
 
 
 class SideB:
@@ -99,10 +102,10 @@ class SideB:
             and model.encode("\n")[0] == self.space
         )
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts with their first space, or of pieces that start with a line end."""
+    def encode(self, texts: list[str]) -> list[int]:
+        """Ids of texts with their first space; one that starts with a line end gets no space ahead."""
         found = self.model.encode([t.removeprefix(" ") for t in texts], num_threads=1)
-        return [ids if t.startswith(" ") else ids[1:] for t, ids in zip(texts, found)]
+        return [i for t, ids in zip(texts, found) for i in (ids if t.startswith(" ") else ids[1:])]
 
 
 @dataclass
@@ -118,13 +121,40 @@ class Aligned:
     links: np.ndarray
 
 
-def _summed(owner: np.ndarray, pair: np.ndarray, links: np.ndarray, count: int):
-    """Links of equal (owner, pair) added up: pairs and links by owner, and how many each has."""
-    order = np.lexsort((pair, owner))
-    owner, pair, links = owner[order], pair[order], links[order]
-    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1])][: len(owner)])
+def _summed(owner: np.ndarray, value: np.ndarray, links: np.ndarray, count: int):
+    """Links of equal (owner, value) added up: values and links by owner, and how many each has."""
+    span = int(value.max()) + 1 if len(value) else 1
+    both = owner * span + value
+    order = np.argsort(both)
+    both, links = both[order], links[order]
+    first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]][: len(both)])
     links = np.add.reduceat(links, first) if len(first) else links
-    return pair[first], links, np.bincount(owner[first], minlength=count)
+    owner, value = np.divmod(both[first], span)
+    return value, links, np.bincount(owner, minlength=count)
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of the given lengths."""
+    ahead = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0)])
+    ends = np.cumsum(counts)
+    return ahead[ends] - ahead[ends - counts]
+
+
+def _calls(texts: list[str], joined: bool) -> list[str]:
+    """The texts themselves, or joined up to about `_CALL` characters each.
+
+    Nothing is joined behind white space, where the texts would not be cut.
+    """
+    if not joined:
+        return texts
+    found, run, size = [], [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= _CALL or text[-1].isspace():
+            found.append("".join(run))
+            run, size = [], 0
+    return [*found, "".join(run)] if run else found
 
 
 class Aligner:
@@ -149,35 +179,45 @@ class Aligner:
         self.known = self.align([])
         self.chars = 0
 
-    def align(self, texts: list[str]) -> Aligned:
-        """Alignment of each text by itself."""
+    def encode(self, texts: list[str], data: bytes, joined: bool) -> list[np.ndarray] | None:
+        """A's and B's ids of all texts in a row, if their bytes are the texts'."""
+        found = []
+        calls = _calls(texts, joined)
+        for side in (self.a, self.b):
+            ids, size, part = [], 0, []
+            for text in calls:  # few texts a call: the libraries' results are large
+                part.append(text)
+                size += len(text)
+                if size >= _CALL:
+                    ids += side.encode(part)
+                    part, size = [], 0
+            ids += side.encode(part)
+            if b"".join(map(side.bytes.__getitem__, ids)) != data:
+                return None
+            found.append(np.array(ids, np.int64))
+        return found
+
+    def align(self, texts: list[str], joined: bool = False) -> Aligned:
+        """Alignment of each text by itself; `joined` ones are pieces that do not depend on each other."""
         data = [t.encode() for t in texts]
-        ids = []
         whole = np.ones(len(texts), bool)
-        for side in (self.a, self.b):
-            found = side.encode(texts)
-            get = side.bytes.__getitem__
-            if b"".join(map(get, (i for x in found for i in x))) != b"".join(data):
-                whole &= [b"".join(map(get, x)) == d for x, d in zip(found, data)]
-            ids.append(found)
-        ids = [[x if ok else [] for x, ok in zip(found, whole)] for found in ids]
-        sizes = np.zeros((len(texts), 4), np.int64)
-        flat = []
-        for k, found in enumerate(ids):
-            sizes[:, k] = [len(x) for x in found]
-            flat.append(np.array([i for x in found for i in x], np.int64))
+        flat = self.encode(texts, b"".join(data), joined)
+        if flat is None:  # some text does not come out: find which
+            alone = [self.encode([t], d, False) for t, d in zip(texts, data)]
+            whole = np.array([x is not None for x in alone], bool)
+            flat = [np.concatenate([np.zeros(0, np.int64), *(x[k] for x in alone if x)]) for k in (0, 1)]
+        text_ends = np.cumsum([len(d) if ok else 0 for d, ok in zip(data, whole)], dtype=np.int64)
         ends = [np.cumsum(length[x]) for length, x in zip((self.length_a, self.length_b), flat)]
         cuts = np.intersect1d(*ends, assume_unique=True)
+        owner = np.searchsorted(text_ends, cuts)
         group = [np.searchsorted(cuts, e) for e in ends]
         per_group = [np.bincount(g, minlength=len(cuts)) for g in group]
-        text_ends = np.cumsum([len(d) if ok else 0 for d, ok in zip(data, whole)], dtype=np.int64)
-        owner = np.searchsorted(text_ends, cuts)
-        np.add.at(sizes[:, 2], owner, 1)
-        np.add.at(sizes[:, 3], owner, per_group[0] * per_group[1])
+        n_groups = np.bincount(owner, minlength=len(texts))
+        both = np.stack([*per_group, np.ones(len(cuts), np.int64), per_group[0] * per_group[1]], axis=1)
         pair, links, pair_owner = self._links(flat, per_group, owner)
         pair, links, counts = _summed(pair_owner, pair, links, len(texts))
-        groups = self._written(flat, per_group, sizes[:, 2])
-        return Aligned(whole, sizes, groups, np.cumsum(counts) - counts, counts, pair, links)
+        groups = self._written(flat, per_group, n_groups)
+        return Aligned(whole, _sums(both, n_groups), groups, np.cumsum(counts) - counts, counts, pair, links)
 
     def _links(self, flat, per_group, owner):
         """Pairs of all groups with how often they are linked, and the text each belongs to."""
@@ -201,15 +241,17 @@ class Aligner:
     def _written(self, flat, per_group, n_groups) -> list[str]:
         sides = []
         for x, counts, names in zip(flat, per_group, (self.names_a, self.names_b)):
-            shown = [names[i] for i in x.tolist()]
-            ends = np.cumsum(counts).tolist()
-            sides.append([",".join(shown[e - n : e]) if n > 1 else shown[e - 1] for e, n in zip(ends, counts.tolist())])
+            starts = np.cumsum(counts) - counts
+            shown = list(map(names.__getitem__, x[starts].tolist()))
+            for g in np.flatnonzero(counts > 1).tolist():
+                shown[g] = ",".join(map(names.__getitem__, x[starts[g] : starts[g] + counts[g]].tolist()))
+            sides.append(shown)
         written = [f"{a}|{b}" for a, b in zip(*sides)]
         ends = np.cumsum(n_groups).tolist()
         return [";".join(written[e - n : e]) for e, n in zip(ends, n_groups.tolist())]
 
     def _learn(self, texts: list[str]) -> None:
-        more, old = self.align(texts), self.known
+        more, old = self.align(texts, joined=True), self.known
         self.place.update(zip(texts, range(len(old.groups), len(old.groups) + len(texts))))
         self.chars += sum(map(len, more.groups))
         self.known = Aligned(
@@ -227,19 +269,17 @@ class Aligner:
         if len(self.place) > CACHE_PIECES or self.chars > CACHE_CHARS:
             self.forget()
         cut = [(pieces(" " + t) if self.cuts else [" " + t]) if t else [] for t in texts]
-        fresh = list(dict.fromkeys(p for x in cut for p in x if p not in self.place))
-        if fresh:
+        if fresh := list(set(chain.from_iterable(cut)).difference(self.place)):
             self._learn(fresh)
         known, get = self.known, self.place.__getitem__
         at = [list(map(get, x)) for x in cut]
         lengths = np.array([len(x) for x in at], np.int64)
-        flat = np.array([i for x in at for i in x], np.int64)
+        flat = np.fromiter(chain.from_iterable(at), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(texts)), lengths)
         whole = np.ones(len(texts), bool)
         whole[owner[~known.whole[flat]]] = False
-        sizes = np.zeros((len(texts), 4), np.int64)
-        np.add.at(sizes, owner, known.sizes[flat])
-        groups = [";".join([known.groups[i] for i in x]) for x in at]
+        sizes = _sums(known.sizes[flat], lengths)
+        groups = [";".join(map(known.groups.__getitem__, x)) for x in at]
         # Distinct pieces of each text, then the pairs of those.
         piece, times, n = _summed(owner, flat, np.ones(len(flat), np.int64), len(texts))
         piece_owner = np.repeat(np.arange(len(texts)), n)
@@ -300,7 +340,7 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str, with_groups: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = aligner(path_a, path_b)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=_STEP):
                 found = make.documents(part.column("text").to_pylist())
                 a, b = np.divmod(found.pairs, make.width)
                 same = make.same[a] == b
