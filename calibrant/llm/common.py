@@ -35,7 +35,17 @@ def stored(table: DataFrame, name: str) -> DataFrame:
     spark = table.sparkSession
     path = shared_folder(spark, name)
     table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    found = spark.read.schema(table.schema).parquet(path)
+    found.stored_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes folders of `stored` tables, once what was computed from them is stored itself."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def located(docs: DataFrame) -> tuple[DataFrame, Column]:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from calibrant.llm.common import stored
+from calibrant.llm.common import discard, stored
+
+# Parts into which the edges of a node are dealt, so that a hub with very many stands in no task alone.
+SALTS = 32
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     """Each node's neighbors (larger ones only, or the others) linked to the least node around it."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else edges
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    linked = both.join(least, "a")
+    salts = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salts, ["a", "salt"])
     if larger:
         return linked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.select("b", "m").union(least.select("a", "m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -34,4 +38,5 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         before = sums
         large = _stars(current, larger=True).distinct()
         small = _stars(large, larger=False).where(F.col("a") != F.col("b")).distinct()
-        current = stored(small, name)
+        last, current = current, stored(small, name)
+        discard(last)

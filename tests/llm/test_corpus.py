@@ -123,10 +123,10 @@ def brute_near(rows, threshold=0.8):
     return ordered((rows[i][0], named(find(s)), links[s], len(sets[s])) for s in names for i in sets[s])
 
 
-@pytest.mark.parametrize("block_docs", [96, 3])
-def test_near_copies(as_table, block_docs):
+@pytest.mark.parametrize("options", [{}, {"small": 1, "block_docs": 3}, {"small": 4, "block_docs": 3, "few": 100}, {"few": 0, "recall": 0.999}])
+def test_near_copies(as_table, options):
     rows = ODD + [(10 + i, t) for i, t in enumerate(near_texts(5, 150))]
-    found = ngram_join.near_groups(as_table(rows), block_docs=block_docs)
+    found = ngram_join.near_groups(as_table(rows), **options)
     assert ordered(found.select("doc_id", "class_id", "n_links", "n_copies").collect()) == brute_near(rows)
 
 
@@ -135,6 +135,63 @@ def test_near_copies_of_nothing(empty):
     assert ngram_join.one_per_group(empty).collect() == []
 
 
+def test_unrelated_documents_under_one_id_stay(as_table):
+    copy = "one two three four five six seven"
+    rows = [(5, copy), (None, copy), (None, "some text that nothing else is like"), (None, "yet another text of its own kind"), (5, "a third text under the same id here")]
+    kept = ngram_join.one_per_group(as_table(rows)).select("doc_id", "text").collect()
+    assert ordered(kept) == ordered([rows[0], *rows[2:]])
+
+
+def edited_pairs(seed, count, low, high):
+    """Pairs of texts whose sets of five-word grams have a similarity from `low` to `high`."""
+    draw = random.Random(seed)
+    while count:
+        words = [f"x{draw.randint(0, 10**9)}" for _ in range(draw.randint(60, 160))]
+        other = list(words)
+        for _ in range(draw.randint(1, 4)):
+            other[draw.randrange(len(other))] = "edited"
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, other))
+        if low <= len(a & b) / len(a | b) <= high:
+            count -= 1
+            yield " ".join(words), " ".join(other)
+
+
+def test_recall_just_above_the_threshold(as_table):
+    texts = [t for pair in edited_pairs(8, 600, 0.8, 0.85) for t in pair]
+    found = ngram_join.near_groups(as_table(list(enumerate(texts)))).collect()
+    linked = sum(r["n_links"] == 1 and r["class_id"] == r["doc_id"] // 2 * 2 for r in found) / len(texts)
+    assert linked >= 0.99 and all(r["n_links"] <= 1 for r in found)
+
+
+def test_dense_classes_keep_long_prefixes(spark):
+    """Where most classes of a tree share short prefixes, prefixes stay long; elsewhere they get short."""
+    draw = np.random.default_rng(1)
+    trees, rows = 28, []
+    for i in range(60):
+        dense = i < 40
+        keys = [t if dense else 1000 * (i // 2) + t for t in range(trees)]
+        paths = [int(draw.integers(0, 1 << 45)) if dense else 7 for _ in range(trees)]
+        rows.append((i.to_bytes(2, "big"), keys, paths))
+    classes = spark.createDataFrame(rows, "digest binary, keys array<long>, paths array<long>")
+    runs = ngram_join.candidate_runs(classes, trees, 5, 8).collect()
+    of = defaultdict(set)
+    for r in runs:
+        of[int.from_bytes(r["digest"], "big") < 40].add(r["depth"])
+        assert r["size"] == 2
+    assert of[False] == {5} and 5 not in of[True]
+
+
+def test_each_pair_belongs_to_its_first_common_unit():
+    lists = [[7, 3, 9], [3, 9], [9, 4], [7, 9]]
+    for unit in (7, 3, 9):
+        here = [i for i, x in enumerate(lists) if unit in x]
+        matrix = ngram_join.owned([lists[i] for i in here], unit)
+        for a, i in enumerate(here):
+            for b, j in enumerate(here):
+                if i != j:
+                    assert matrix[a, b] == (next(u for u in lists[i] if u in lists[j]) == unit)
+
+
 # --- repeated passages
 
 
