@@ -46,7 +46,7 @@ TREES, MAX_DEPTH, TARGET_RECALL = 28, 10, 0.99
 MIN_DEPTH, FEW = 5, 2
 # Runs of more classes are dense; their groups are dealt into blocks.
 SMALL = 32
-BLOCK_DOCS, BLOCK_BYTES = 256, 6_000_000
+BLOCK_DOCS, BLOCK_BYTES = 128, 6_000_000
 # Bits that tell a hash of a longer prefix apart below the shortest one.
 _BITS = 15
 _CODES, _HASHED = 2048, 4096
