@@ -48,6 +48,25 @@ def discard(*tables: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+# Most keys that `join_hot` spreads, and the parts it deals their rows into. A key beyond them has at
+# most one in HOT_KEYS of the rows.
+HOT_KEYS, HOT_PARTS = 1024, 32
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join with a table that has one row per key and how many `rows` there are of it.
+
+    The rows of the HOT_KEYS most frequent keys are dealt over HOT_PARTS tasks each; only the list of
+    those keys is broadcast.
+    """
+    hot = F.broadcast(table.orderBy(F.desc(count), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*(c for c in rows.columns if c not in keys)), F.lit(HOT_PARTS)))
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    spread_rows = rows.join(hot, keys, "left").withColumn("part", F.coalesce(salt, F.lit(0)).cast("int")).drop("hot")
+    copies = table.join(hot, keys, "left").withColumn("part", F.explode(parts)).drop("hot", count)
+    return spread_rows.join(copies.hint("merge"), [*keys, "part"]).drop("part")
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, Column]:
     """The documents and the column that says where each row is; other tables are stored first."""
 

@@ -1,19 +1,25 @@
 """Removal of passages that a document with a smaller id already has, by level-wise doubling.
 
-The first level looks at windows of half the wanted length. Of every full window the half window
-with the least hash is taken, so equal full windows give equal half windows, wherever they
-stand, and about one position in fourteen is looked at. Half windows that occur in one document
-only are dropped there; nothing they are part of can repeat.
-
-The others are extended to twice their length. All full windows that contain a half window lie
-in its surroundings. Equal surroundings are settled at once: every document but the first that
-has them loses all of their words. Only the first document with each of several different
-surroundings of a half window hashes its full windows one by one; those that start in a
-document with a smaller id are removed too. The smallest document that has a window is always
-the first with its surroundings there, or an even smaller one has the window as well, so nothing
-is missed. No longer windows are needed: their words are covered by full ones.
-
-Half windows and surroundings are compared by 64 bits each, together 128, full windows by 128.
+Lengths double up to the wanted one: 7, 13, 25 and 50 words. The first level looks at windows of the
+least length. Of every full window the one with the least hash is taken, so equal full windows
+give equal ones, wherever they stand, and about one position in twenty is looked at. Windows
+that occur in one document only are dropped; nothing they are part of can repeat. The others are
+extended to about twice their length, to the left and to the right: a full window around them has
+one of the two within it. A window stays if one of its extensions occurs in several documents. So
+each level looks at what the one before has left, until full windows are reached or none is left.
+
+All full windows that contain a window lie in its surroundings. Equal surroundings are settled at
+once: every document but the first that has them loses all of their words. Only the first document
+with each of several different surroundings of a window hashes its full windows one by one;
+those that start in a document with a smaller id are removed too. The smallest document that has a
+full window is always the first with its surroundings there, or an even smaller one has the
+window as well, so nothing is missed. No longer windows are needed: their words are covered by
+full ones.
+
+A passage that many documents share has its first document and its number counted ahead of the
+shuffle; its rows look these up in several tasks (`common.join_hot`).
+
+Short windows and surroundings are compared by 64 bits each, together 128, full windows by 128.
 Words are separated by ASCII white space. Missing texts have no words. A missing id is smaller
 than all others; rows with the same id do not repeat each other.
 """
@@ -30,9 +36,11 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from calibrant.llm.common import documents, slices, spread, stored
+from calibrant.llm.common import discard, documents, join_hot, slices, spread, stored
 
 WINDOW = 50
+# The first level's windows have at least this many words, if the wanted ones have.
+LEAST = 7
 _NO_ID = -(1 << 63)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -70,27 +78,44 @@ class Words:
         return _mix(total * self.scales[kind][start])
 
 
-def least_halves(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the chosen half windows, their hashes, and the text each is in."""
-    half = window // 2
+def level_lengths(window: int, least: int = LEAST) -> list[int]:
+    """Lengths that double, as near as whole numbers go, up to the wanted one."""
+    lengths = [window, (window + 1) // 2]
+    while (lengths[-1] + 1) // 2 >= least:
+        lengths.append((lengths[-1] + 1) // 2)
+    return lengths[::-1]
+
+
+def extensions(lengths: list[int]) -> list[list[int]]:
+    """Per level, where the extensions to its length start ahead of the first level's window."""
+    starts = [[0]]
+    for short, long in zip(lengths, lengths[1:]):
+        starts.append([s + step for s in starts[-1] for step in (0, long - short)])
+    return starts
+
+
+def least_windows(words: Words, window: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the first level's windows, their hashes, and the text each is in."""
     n = np.diff(words.offsets)
     starts = spread(words.offsets[:-1], np.maximum(n - window + 1, 0))
     if not len(starts):
         return starts, np.zeros(0, np.uint64), starts
-    hashes = words.run_hash(np.arange(len(words.flat) - half + 1), half)
-    least, at = hashes[starts], starts.copy()
-    for step in range(1, window - half + 1):
-        value = hashes[starts + step]
-        lower = value < least
-        least[lower], at[lower] = value[lower], starts[lower] + step
-    at = np.unique(at)
+    hashes = words.run_hash(np.arange(len(words.flat) - length + 1), length)
+    # The least of the positions start .. start+steps, found by runs that double.
+    steps = window - length
+    least, best, run = hashes.copy(), np.arange(len(hashes)), 1
+    while 2 * run <= steps + 1:
+        lower = least[run:] < least[:-run]
+        least, best = np.where(lower, least[run:], least[:-run]), np.where(lower, best[run:], best[:-run])
+        run *= 2
+    last = starts + (steps + 1 - run)
+    at = np.unique(np.where(least[last] < least[starts], best[last], best[starts]))
     return at, hashes[at], np.searchsorted(words.offsets, at, side="right") - 1
 
 
-def _surroundings(words: Words, at: np.ndarray, text: np.ndarray, window: int):
-    """Where the run of all full windows around each half window starts, and its length."""
-    half = window // 2
-    low = np.maximum(at - (window - half), words.offsets[text])
+def _surroundings(words: Words, at: np.ndarray, text: np.ndarray, window: int, length: int):
+    """Where the run of all full windows around each short window starts, and its length."""
+    low = np.maximum(at - (window - length), words.offsets[text])
     return low, np.minimum(at + window, words.offsets[text + 1]) - low
 
 
@@ -103,26 +128,37 @@ def _ids(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column, _NO_ID).to_numpy(zero_copy_only=False)
 
 
-def half_windows(docs: DataFrame, window: int) -> DataFrame:
-    """The chosen half windows of all documents: hash, hash of the surroundings, document, spot.
+def short_windows(docs: DataFrame, window: int, lengths: list[int]) -> DataFrame:
+    """The first level's windows of all documents: hash, hash of the surroundings, document, spot, extensions.
 
-    A spot is the key of the text in the upper, the position in the lower 32 bits.
+    A spot is the key of the text in the upper, the position in the lower 32 bits. `level1`, `level2` ... are the
+    hashes of the extensions to the levels' lengths; one that leaves the text is missing.
     """
-    out = pa.schema([(c, pa.int64()) for c in ("half", "around", "doc", "spot")])
+    levels = list(zip(lengths, extensions(lengths)))[1:-1]
+    schema = "short long, around long, doc long, spot long" + "".join(f", level{k + 1} array<long>" for k in range(len(levels)))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text")
                 words = Words(texts)
-                at, hashes, text = least_halves(words, window)
-                low, length = _surroundings(words, at, text, window)
+                at, hashes, text = least_windows(words, window, lengths[0])
+                low, length = _surroundings(words, at, text, window, lengths[0])
                 around = _mix(words.run_hash(low, length, 1) + (length * window + (at - low)).astype(np.uint64))
                 spot = (_keys(texts)[text] << 32) | (at - words.offsets[text])
                 columns = [hashes.view(np.int64), around.view(np.int64), _ids(part.column("doc_id"))[text], spot]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
+                longer = []
+                for size, ahead in levels:
+                    start = at[:, None] - np.array(ahead)
+                    inside = (start >= words.offsets[text][:, None]) & (start + size <= words.offsets[text + 1][:, None])
+                    found = words.run_hash(np.where(inside, start, 0).ravel(), np.where(inside, size, 0).ravel())
+                    values = pa.array(found.view(np.int64), mask=~inside.ravel())
+                    offsets = np.arange(len(at) + 1, dtype=np.int32) * len(ahead)
+                    longer.append(pa.ListArray.from_arrays(pa.array(offsets), values))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *longer], names)
 
-    return documents(docs).mapInArrow(run, "half long, around long, doc long, spot long")
+    return documents(docs).mapInArrow(run, schema)
 
 
 def _per_text(spots: DataFrame) -> DataFrame:
@@ -152,9 +188,8 @@ def _spots(column: pa.Array) -> Iterator[dict[int, np.ndarray]]:
 _COVERED, _OPEN, _FULL = 1, 2, 3
 
 
-def full_windows(docs: DataFrame, spots: DataFrame, window: int) -> DataFrame:
-    """128-bit hashes of the full windows around open half windows: h1, h2, doc, spot."""
-    half = window // 2
+def full_windows(docs: DataFrame, spots: DataFrame, window: int, length: int) -> DataFrame:
+    """128-bit hashes of the full windows around open short windows: h1, h2, doc, spot."""
     out = pa.schema([(c, pa.int64()) for c in ("h1", "h2", "doc", "spot")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +200,7 @@ def full_windows(docs: DataFrame, spots: DataFrame, window: int) -> DataFrame:
                 for i, found in enumerate(_spots(part.column("spots"))):
                     at = found.get(_OPEN, np.zeros(0, np.int64))
                     last = words.offsets[i + 1] - words.offsets[i] - window
-                    near = np.unique(at[:, None] - np.arange(window - half + 1))
+                    near = np.unique(at[:, None] - np.arange(window - length + 1))
                     near = near[(near >= 0) & (near <= last)]
                     starts.append(near)
                     rows.append(np.full(len(near), i))
@@ -184,30 +219,50 @@ def full_windows(docs: DataFrame, spots: DataFrame, window: int) -> DataFrame:
     return _with_key(docs).join(open_, ["doc", "key"]).select("text", "doc", "key", "spots").mapInArrow(run, "h1 long, h2 long, doc long, spot long")
 
 
+def _in_several(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that occur in more than one document, and how often."""
+    ends = rows.groupBy(key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return ends.where("lo < hi").select(key, "n")
+
+
+def surviving_windows(docs: DataFrame, window: int) -> DataFrame:
+    """`short`, `around`, `doc` and `spot` of the short windows that the levels leave."""
+    lengths = level_lengths(window)
+    rows = short_windows(docs, window, lengths)
+    alive = stored(join_hot(rows, _in_several(rows, "short"), ["short"], "n"), "windows")
+    for k in range(1, len(lengths) - 1):
+        longer = alive.withColumn("longer", F.explode(f"level{k}")).drop(f"level{k}").where("longer IS NOT NULL")
+        left = join_hot(longer, _in_several(longer, "longer"), ["longer"], "n").drop("longer")
+        before, alive = alive, stored(left.dropDuplicates(["doc", "spot"]), "windows")
+        discard(before)
+    return alive
+
+
 def repeated_spots(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`doc`, `spot` and `kind` of covered half windows (1) and removed full windows (3)."""
-    halves = half_windows(docs, window)
-    repeated = halves.groupBy("half").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("half")
-    survivors = stored(halves.join(repeated, "half"), "half-windows")
-    first = survivors.groupBy("half", "around").agg(F.min("doc").alias("first"))
-    several = first.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half", F.lit(_OPEN).alias("open"))
-    kind = F.when(F.col("first") < F.col("doc"), _COVERED).otherwise(F.col("open"))
+    """`doc`, `spot` and `kind` of covered short windows (1) and removed full windows (3)."""
+    survivors = surviving_windows(docs, window)
+    first = survivors.groupBy("short", "around").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
+    several = first.groupBy("short").agg(F.count(F.lit(1)).alias("kinds"))
+    open_ = join_hot(first, several.select("short", (F.col("kinds") > 1).alias("open"), "kinds"), ["short"], "kinds")
+    kind = F.when(F.col("first") < F.col("doc"), _COVERED).when(F.col("open"), _OPEN)
     spots = stored(
-        survivors.join(first, ["half", "around"])
-        .join(several, "half", "left")
-        .select("doc", "spot", kind.alias("kind"))
-        .where("kind IS NOT NULL"),
-        "half-window-spots",
+        join_hot(survivors, open_, ["short", "around"], "n").select("doc", "spot", kind.alias("kind")).where("kind IS NOT NULL"),
+        "window-spots",
+    )
+    discard(survivors)
+    full = stored(full_windows(docs, spots, window, level_lengths(window)[0]), "full-windows")
+    earlier = full.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"))
+    removed = join_hot(full, earlier.where("lo < hi").drop("hi"), ["h1", "h2"], "n").where("lo < doc")
+    found = stored(
+        spots.where(F.col("kind") == _COVERED).unionByName(removed.select("doc", "spot", F.lit(_FULL).alias("kind"))), "removed-spots"
     )
-    full = stored(full_windows(docs, spots, window), "full-windows")
-    earlier = full.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    removed = full.join(earlier, ["h1", "h2"]).where("lo < doc").select("doc", "spot", F.lit(_FULL).alias("kind"))
-    return spots.where(F.col("kind") == _COVERED).unionByName(removed)
+    discard(spots, full)
+    return found
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and kept_text, the words left over."""
-    half = window // 2
+    length = level_lengths(window)[0]
     out = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
     )
@@ -222,7 +277,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     own = words.flat.slice(words.offsets[i], n[i])
                     ends = np.zeros(n[i] + 1, np.int64)
                     covered, full = found.get(_COVERED, np.zeros(0, np.int64)), found.get(_FULL, np.zeros(0, np.int64))
-                    np.add.at(ends, np.concatenate([np.maximum(covered - (window - half), 0), full]), 1)
+                    np.add.at(ends, np.concatenate([np.maximum(covered - (window - length), 0), full]), 1)
                     np.add.at(ends, np.minimum(np.concatenate([covered, full]) + window, n[i]), -1)
                     gone = np.cumsum(ends[:-1]) > 0
                     removed.append(int(gone.sum()))

@@ -213,7 +213,27 @@ def brute_repeats(rows, window):
     return ordered(out)
 
 
-@pytest.mark.parametrize("window, seed", [(6, 1), (50, 2)])
+def test_lengths_double_and_extensions_lie_in_every_full_window():
+    assert substrings.level_lengths(50) == [7, 13, 25, 50] and substrings.level_lengths(6) == [3, 6]
+    for window in (6, 14, 27, 50):
+        lengths = substrings.level_lengths(window)
+        for length, ahead in zip(lengths[:-1], substrings.extensions(lengths)):
+            for offset in range(window - lengths[0] + 1):
+                assert any(offset - a >= 0 and offset - a + length <= window for a in ahead)
+
+
+def test_levels_leave_fewer_windows(as_table):
+    common, passage = "a few words that all share", " ".join(f"p{k}" for k in range(60))
+    rows = [(i, f"{' '.join(f'u{i}x{k}' for k in range(60))} {common} {passage if i % 10 == 0 else ''} {i}") for i in range(100)]
+    table = as_table(rows)
+    lengths = substrings.level_lengths(50)
+    short = substrings.short_windows(table, 50, lengths)
+    left = substrings.surviving_windows(table, 50)
+    assert {r["doc"] for r in left.select("doc").distinct().collect()} == set(range(0, 100, 10))
+    assert short.count() > 3 * left.count() > 0
+
+
+@pytest.mark.parametrize("window, seed", [(6, 1), (20, 3), (50, 2)])
 def test_repeats(as_table, window, seed):
     draw = random.Random(seed)
     passages = [[f"p{draw.randint(0, 30)}" for _ in range(draw.randint(window - 2, 2 * window))] for _ in range(8)]
