@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,18 +53,23 @@ def discard(*tables: DataFrame) -> None:
 HOT_KEYS, HOT_PARTS = 1024, 32
 
 
-def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """Inner join with a table that has one row per key and how many `rows` there are of it.
+def join_hot(
+    rows: DataFrame, table: DataFrame, keys: list[str], count: str, name: str, then: Callable[[DataFrame], DataFrame] = lambda x: x
+) -> DataFrame:
+    """Inner join with a table that has one row per key and how many `rows` there are of it; stored after `then`.
 
     The rows of the HOT_KEYS most frequent keys are dealt over HOT_PARTS tasks each; only the list of
     those keys is broadcast.
     """
+    table = stored(table, "keys")
     hot = F.broadcast(table.orderBy(F.desc(count), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*(c for c in rows.columns if c not in keys)), F.lit(HOT_PARTS)))
     parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
     spread_rows = rows.join(hot, keys, "left").withColumn("part", F.coalesce(salt, F.lit(0)).cast("int")).drop("hot")
     copies = table.join(hot, keys, "left").withColumn("part", F.explode(parts)).drop("hot", count)
-    return spread_rows.join(copies.hint("merge"), [*keys, "part"]).drop("part")
+    found = stored(then(spread_rows.join(copies.hint("merge"), [*keys, "part"]).drop("part")), name)
+    discard(table)
+    return found
 
 
 def located(docs: DataFrame) -> tuple[DataFrame, Column]:

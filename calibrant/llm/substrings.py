@@ -228,12 +228,14 @@ def _in_several(rows: DataFrame, key: str) -> DataFrame:
 def surviving_windows(docs: DataFrame, window: int) -> DataFrame:
     """`short`, `around`, `doc` and `spot` of the short windows that the levels leave."""
     lengths = level_lengths(window)
-    rows = short_windows(docs, window, lengths)
-    alive = stored(join_hot(rows, _in_several(rows, "short"), ["short"], "n"), "windows")
+    rows = stored(short_windows(docs, window, lengths), "short-windows")
+    alive = join_hot(rows, _in_several(rows, "short"), ["short"], "n", "windows")
+    discard(rows)
     for k in range(1, len(lengths) - 1):
         longer = alive.withColumn("longer", F.explode(f"level{k}")).drop(f"level{k}").where("longer IS NOT NULL")
-        left = join_hot(longer, _in_several(longer, "longer"), ["longer"], "n").drop("longer")
-        before, alive = alive, stored(left.dropDuplicates(["doc", "spot"]), "windows")
+        before, alive = alive, join_hot(
+            longer, _in_several(longer, "longer"), ["longer"], "n", "windows", lambda x: x.drop("longer").dropDuplicates(["doc", "spot"])
+        )
         discard(before)
     return alive
 
@@ -243,21 +245,21 @@ def repeated_spots(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     survivors = surviving_windows(docs, window)
     first = survivors.groupBy("short", "around").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
     several = first.groupBy("short").agg(F.count(F.lit(1)).alias("kinds"))
-    open_ = join_hot(first, several.select("short", (F.col("kinds") > 1).alias("open"), "kinds"), ["short"], "kinds")
+    kinds = join_hot(first, several.select("short", (F.col("kinds") > 1).alias("open"), "kinds"), ["short"], "kinds", "surroundings")
     kind = F.when(F.col("first") < F.col("doc"), _COVERED).when(F.col("open"), _OPEN)
-    spots = stored(
-        join_hot(survivors, open_, ["short", "around"], "n").select("doc", "spot", kind.alias("kind")).where("kind IS NOT NULL"),
-        "window-spots",
-    )
-    discard(survivors)
+    spots = join_hot(
+        survivors, kinds, ["short", "around"], "n", "window-spots",
+        lambda x: x.select("doc", "spot", kind.alias("kind")).where("kind IS NOT NULL"),
+    )
+    discard(survivors, kinds)
     full = stored(full_windows(docs, spots, window, level_lengths(window)[0]), "full-windows")
     earlier = full.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"))
-    removed = join_hot(full, earlier.where("lo < hi").drop("hi"), ["h1", "h2"], "n").where("lo < doc")
-    found = stored(
-        spots.where(F.col("kind") == _COVERED).unionByName(removed.select("doc", "spot", F.lit(_FULL).alias("kind"))), "removed-spots"
-    )
-    discard(spots, full)
-    return found
+    removed = join_hot(
+        full, earlier.where("lo < hi").drop("hi"), ["h1", "h2"], "n", "removed-windows",
+        lambda x: x.where("lo < doc").select("doc", "spot", F.lit(_FULL).alias("kind")),
+    )
+    discard(full)
+    return spots.where(F.col("kind") == _COVERED).unionByName(removed)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
