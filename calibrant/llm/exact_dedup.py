@@ -1,11 +1,15 @@
 """Exact deduplication by a stateful stream over digests.
 
-Each batch of documents adds rows (digest, id, locator) to a table. A stream reads that table
+Each call adds rows (digest, id, locator) of its documents to a folder. A stream reads that folder
 and keeps, per digest, the row with the largest id and the number of rows, in RocksDB state
-that never expires: a digest seen years ago is still known. The locator (file and row) says
-where the full text is. Every hit, a row whose digest belongs to another row too, is then
-checked byte by byte against the text at the kept row's locator. Rows that only share the
-digest are grouped by their full texts instead.
+that never expires. The locator (file and row) says where the full text is. Every hit, a row whose
+digest belongs to another row too, is then checked byte by byte against the text at the kept
+row's locator. Rows that only share the digest are grouped by their full texts instead.
+
+With a `state` folder digests, stream and state last over calls: a digest seen years ago is still
+known, and its text is read where its locator says, so earlier documents must stay where they were.
+Results are those of this call's rows among all rows ever seen. What a call begins with is noted
+before the stream goes on, so a call that failed can be run again under the same name.
 
 Everything here is DataFrame and SQL operations. Hot groups: the stream counts before it
 shuffles, and the joins are equi-joins whose outsized partitions Spark splits.
@@ -16,6 +20,7 @@ texts with the same id the one with the largest locator stays, so exactly one ro
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -63,7 +68,7 @@ def update_state(spark: SparkSession, digests: str, checkpoint: str, files_per_b
     rows = (
         spark.readStream.schema(spark.read.parquet(digests).schema)
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(digests)
+        .parquet(digests)  # one folder per call
     )
     counted = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count(F.lit(1)).alias("n"))
     with _rocksdb(spark):
@@ -81,63 +86,105 @@ def update_state(spark: SparkSession, digests: str, checkpoint: str, files_per_b
     )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _written_once(table: DataFrame, path: str) -> DataFrame:
+    """The table stored at the path, unless a run before has done so."""
+    spark = table.sparkSession
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        table.write.mode("overwrite").parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
+def _known(spark: SparkSession, checkpoint: str) -> DataFrame | None:
+    """The lasting state so far: digest, old_keep; nothing before the first call."""
+    if not _exists(spark, f"{checkpoint}/commits/0"):
+        return None
+    with _rocksdb(spark):
+        state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.digest", F.col("value.max").alias("old_keep"))
+
+
+def dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, state: str | None = None, call: str | None = None
+) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256 and its locator `at`.
 
-    `digest` maps the normalized text to a string; a weak one costs time, not correctness.
+    `digest` maps the normalized text to a string; a weak one costs time, not correctness. `state` is the
+    folder of a lasting state, the same for all calls; without it only this call's rows are compared.
     """
     spark = docs.sparkSession
     docs, place = located(docs)
     text = normalized(F.col(text_col))
-    folder, checkpoint = shared_folder(spark, "dedup-digests"), shared_folder(spark, "dedup-stream")
-    docs.select(F.col(id_col).cast("long").alias("doc_id"), place.alias("at"), text.alias("text")).select(
+    folder, call = state or shared_folder(spark, "dedup"), call or uuid.uuid4().hex
+    checkpoint = f"{folder}/stream"
+    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), place.alias("at"), text.alias("text")).select(
         "doc_id", "at", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("text_sha256")
-    ).write.parquet(folder)
-    rows = spark.read.parquet(folder)
-    state = update_state(spark, folder, checkpoint)
-    grouped = rows.join(state, "digest")
-
+    )
+    known = _known(spark, checkpoint) if state else None
+    rows = _written_once(hashed, f"{folder}/digests/call={call}")
     texts = docs.select(place.alias("at"), text.alias("text"))
-    different = stored(_different(grouped, texts), "dedup-different")
-    if different.isEmpty():
-        return grouped.select(
-            "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("at") == F.col("keep.at")).alias("kept"), "text_sha256", "at"
-        )
-    return _regrouped(grouped, different)
+    before = None
+    if state:
+        nothing = rows.select("digest", F.struct("doc_id", "at").alias("old_keep")).limit(0)
+        met = known.join(rows.select("digest").distinct(), "digest", "left_semi") if known else nothing
+        before = _written_once(met.select("digest", "old_keep"), f"{folder}/before/call={call}")
+        before = None if before.isEmpty() else before
+    grouped = rows.join(update_state(spark, f"{folder}/digests", checkpoint), "digest")
+    if before is None:
+        grouped = grouped.withColumn("same_as", F.col("keep"))
+    else:
+        # All earlier rows of a digest were found equal to the row kept then, or are noted as collided.
+        grouped = grouped.join(before, "digest", "left").withColumn("same_as", F.coalesce("old_keep", "keep")).drop("old_keep")
+        texts = texts.union(_earlier_texts(before.select("old_keep.at"), text_col))
+
+    collided = stored(_collided(grouped, texts), "dedup-collided")
+    if state:
+        collided.write.mode("append").parquet(f"{folder}/collided")
+        collided = spark.read.parquet(f"{folder}/collided").join(rows.select("digest").distinct(), "digest", "left_semi").distinct()
+    found = grouped.drop("same_as")
+    if not collided.isEmpty():
+        found = _regrouped(found, collided, spark.read.parquet(f"{folder}/digests") if before is not None else rows, texts, text_col)
+    return found.select(
+        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("at") == F.col("keep.at")).alias("kept"), "text_sha256", "at"
+    )
 
 
-def _different(grouped: DataFrame, texts: DataFrame) -> DataFrame:
-    """Hits whose full text is not that of the row kept under their digest."""
-    several = grouped.where(F.col("group_size") > 1)
-    is_hit = F.col("at") != F.col("keep.at")
-    wanted = several.select("at", "digest", "doc_id", is_hit.alias("hit"))
-    with_text = texts.join(wanted, "at")
-    kept = with_text.where(~F.col("hit")).select("digest", F.col("text").alias("kept_text"))
-    return (
-        with_text.where("hit")
-        .join(kept, "digest")
-        .where(F.encode("text", "UTF-8") != F.encode("kept_text", "UTF-8"))
-        .select("at", "digest", "doc_id", "text")
-    )
+def _earlier_texts(places: DataFrame, text_col: str) -> DataFrame:
+    """Normalized texts in the files that the locators name. The driver gets the files' names alone."""
+    spark = places.sparkSession
+    files = [r[0] for r in places.select("at.file").distinct().collect()]
+    docs, place = located(spark.read.parquet(*files))
+    return docs.select(place.alias("at"), normalized(F.col(text_col)).alias("text"))
 
 
-def _regrouped(grouped: DataFrame, different: DataFrame) -> DataFrame:
-    """Rows that only shared a digest, grouped by full text; the others without them."""
-    own = different.groupBy("text").agg(F.max(F.struct("doc_id", "at")).alias("keep"), F.count(F.lit(1)).alias("size"))
-    moved = different.join(own, "text").select("at", F.col("keep").alias("own_keep"), F.col("size").alias("own_size"))
-    fewer = different.groupBy("digest").agg(F.count(F.lit(1)).alias("gone"))
-    keep = F.coalesce("own_keep", "keep")
+def _collided(grouped: DataFrame, texts: DataFrame) -> DataFrame:
+    """Digests of hits whose full text is not that of the row that stands for their digest."""
+    several = grouped.where(F.col("group_size") > 1)
+    places = several.select("at", "digest", F.lit(True).alias("hit")).where(F.col("at") != F.col("same_as.at")).union(
+        several.select("same_as.at", "digest", F.lit(False)).distinct()
+    )
+    with_text = texts.join(places, "at")
+    kept = with_text.where(~F.col("hit")).select("digest", F.col("text").alias("kept_text"))
+    differs = F.encode("text", "UTF-8") != F.encode("kept_text", "UTF-8")
+    return with_text.where("hit").join(kept, "digest").where(differs).select("digest").distinct()
+
+
+def _regrouped(grouped: DataFrame, collided: DataFrame, all_rows: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """The rows of collided digests grouped by full text, among all rows ever seen; the others as they are."""
+    members = stored(all_rows.join(collided, "digest", "left_semi").select("digest", "doc_id", "at"), "dedup-members")
+    if "call" in all_rows.columns:
+        texts = texts.union(_earlier_texts(members.select("at"), text_col)).distinct()
+    with_text = members.join(texts, "at").select("digest", F.encode("text", "UTF-8").alias("bytes"), "doc_id", "at")
+    own = with_text.groupBy("digest", "bytes").agg(F.max(F.struct("doc_id", "at")).alias("own_keep"), F.count(F.lit(1)).alias("own_size"))
+    moved = with_text.join(own, ["digest", "bytes"]).select("at", "own_keep", "own_size")
     return (
         grouped.join(moved, "at", "left")
-        .join(fewer, "digest", "left")
-        .select(
-            "doc_id",
-            keep["doc_id"].alias("keep_id"),
-            F.coalesce("own_size", F.col("group_size") - F.coalesce("gone", F.lit(0))).alias("group_size"),
-            (F.col("at") == keep["at"]).alias("kept"),
-            "text_sha256",
-            "at",
-        )
+        .withColumn("keep", F.coalesce("own_keep", "keep"))
+        .withColumn("group_size", F.coalesce("own_size", "group_size"))
     )
 
 

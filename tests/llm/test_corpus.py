@@ -130,6 +130,42 @@ def test_near_copies(as_table, options):
     assert ordered(found.select("doc_id", "class_id", "n_links", "n_copies").collect()) == brute_near(rows)
 
 
+def cumulative(calls, k):
+    """Brute force over the rows of the first k+1 calls; the results of call k's rows."""
+    rows = [(c, r) for c in range(k + 1) for r in calls[c]]
+    groups = defaultdict(list)
+    for c, (doc_id, text) in rows:
+        groups[lowered(text)].append(doc_id)
+    return ordered(
+        (i, max(groups[lowered(t)]), len(groups[lowered(t)]), hashlib.sha256(lowered(t).encode()).hexdigest()) for i, t in calls[k]
+    )
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_state_lasts_over_calls(as_table, tmp_path, weak):
+    """Later calls hit rows of earlier ones; with a weak digest different texts share it, also across calls."""
+    calls = [
+        [(1, "Same"), (2, "other"), (3, "same"), (4, "only"), (5, None)],
+        [(20, "SAME"), (21, "thing"), (0, "only"), (22, "fresh"), (23, "")],
+        [(30, "thing"), (31, "other"), (7, "same"), (32, "unseen text")],
+    ]
+    digest = (lambda text: F.length(text).cast("string")) if weak else exact_dedup.sha256
+    for k, rows in enumerate(calls):
+        found = exact_dedup.dedup(as_table(rows), digest=digest, state=str(tmp_path / "state"), call=f"c{k}").collect()
+        got = ordered((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found)
+        assert got == cumulative(calls, k)
+        assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in found)
+
+
+def test_a_call_can_be_run_again(as_table, tmp_path):
+    first, second = as_table([(1, "a"), (2, "b")]), as_table([(3, "A"), (4, "c")])
+    options = {"state": str(tmp_path / "state")}
+    exact_dedup.dedup(first, **options, call="one").collect()
+    once = ordered(exact_dedup.dedup(second, **options, call="two").collect())
+    assert ordered(exact_dedup.dedup(second, **options, call="two").collect()) == once
+    assert {r[0]: r[2] for r in once} == {3: 2, 4: 1}
+
+
 def test_near_copies_of_nothing(empty):
     assert ngram_join.near_groups(empty).collect() == []
     assert ngram_join.one_per_group(empty).collect() == []
