@@ -5,8 +5,13 @@ Pieces are dealt by a hash into shards of about SHARD_PIECES rows; a shard is pa
 task, longest piece first, each into the open sequence with the least room that still takes it.
 A segment tree over the possible amounts of room finds that sequence in one descent.
 
-A shard leaves a few sequences that are not full. Their pieces are packed again, by the same step
-over fewer shards, until one shard is left or trying again does not help.
+A shard leaves a few sequences that are filled to less than FULL. Their pieces are packed again, by
+the same step over fewer shards, until one shard is left or a step left more than RETRY of its
+pieces loose: lengths that fill no sequence well are not packed better by trying again.
+
+Missing texts are empty; their one piece is the end id. Rows with equal or missing ids, and equal
+rows, are documents of their own: pieces are dealt to shards by their place in the table, so many
+equal ones do not meet. A long text is tokenized as a whole and then cut. An empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -20,11 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from calibrant.llm.common import documents, ids_crc32, slices, stored
 from calibrant.llm.word_tokens import END_ID, word_tokens
+from calibrant.shipping import ship_package
 
 CAPACITY = 4096
 SHARD_PIECES = 1024
-# A sequence filled to this share is left as it is.
-FULL = 0.99
+# A sequence filled to this share is left as it is; a step that leaves more than RETRY of its pieces loose is the last.
+FULL, RETRY = 0.99, 0.9
 
 
 class RoomTree:
@@ -112,11 +118,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
 
 def _pack_shards(items: DataFrame, n_items: int, capacity: int, shard_pieces: int) -> DataFrame:
-    """`bin` (shard and number) and `at` of every item, a row with a `key` and a `length`."""
+    """`bin` (shard and number) and `at` of every item, a row with a `place` and a `length`."""
     shards = max(1, -(-n_items // shard_pieces))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "key"], ascending=[False, True], ignore_index=True)
+        rows = rows.sort_values(["length", "place"], ascending=[False, True], ignore_index=True)
         bins, offsets = best_fit(rows["length"].to_numpy(), capacity)
         fill = np.bincount(bins, weights=rows["length"], minlength=1).astype(np.int64)
         rows["bin"] = rows["shard"].astype(np.int64) * (1 << 32) + bins
@@ -124,26 +130,28 @@ def _pack_shards(items: DataFrame, n_items: int, capacity: int, shard_pieces: in
         return rows.drop(columns="shard")
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("place"), F.lit(shards))
     return items.withColumn("shard", shard).groupBy("shard").applyInPandas(pack, f"{kept}, bin long, at long, fill long")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """`sequence_id` and `offset` of every piece of a stored table with `doc_id`, `piece` and `length`.
-
-    Pieces with equal ids and numbers are separate rows and each get a place.
-    """
+def pack(
+    pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, full: float = FULL, retry: float = RETRY
+) -> DataFrame:
+    """The pieces, a table with a column `length` and any others, with their `sequence_id` and `offset`."""
+    ship_package(pieces.sparkSession)
     columns = pieces.columns
-    todo = pieces.withColumn("key", F.concat_ws(":", *(F.col(c).cast("string") for c in columns)))
-    n, level, packed = pieces.count(), 0, None
+    inner = {c: "length" if c == "length" else f"c{i}" for i, c in enumerate(columns)}
+    todo = stored(
+        pieces.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()), F.monotonically_increasing_id().alias("place")), "pieces"
+    )
+    n, level, packed = todo.count(), 0, None
     while True:
         placed = stored(_pack_shards(todo, n, capacity, shard_pieces), "packed")
-        loose = placed.where(F.col("fill") < FULL * capacity)
+        loose = placed.where(F.col("fill") < full * capacity)
         left = loose.count()
-        # Lengths that fill no sequence well are not packed better by trying again.
-        last = n <= shard_pieces or left == 0 or 10 * left > 9 * n
-        done = (placed if last else placed.where(F.col("fill") >= FULL * capacity)).select(
-            *columns, (F.lit(level << 56) + F.col("bin")).alias("sequence_id"), F.col("at").alias("offset")
+        last = n <= shard_pieces or left == 0 or left > retry * n
+        done = (placed if last else placed.where(F.col("fill") >= full * capacity)).select(
+            *(F.col(n).alias(c) for c, n in inner.items()), (F.lit(level << 56) + F.col("bin")).alias("sequence_id"), F.col("at").alias("offset")
         )
         packed = done if packed is None else packed.union(done)
         if last:
@@ -153,4 +161,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Documents to packed pieces: tokenized once, cut at `capacity`, packed best fit decreasing."""
-    return pack(stored(token_pieces(docs, path, capacity), "pieces"), capacity, shard_pieces)
+    return pack(token_pieces(docs, path, capacity), capacity, shard_pieces)

@@ -162,3 +162,14 @@ def test_pieces_of_odd_rows(odd, empty):
     assert back == sorted(((i, t or "") for i, t in ODD), key=repr)
     assert all(r["same_text"] for r in pieces.round_trip(odd, PIECES).collect())
     assert pieces.round_trip(empty, PIECES).collect() == []
+
+
+def test_equal_pieces_are_spread_over_all_shards(spark):
+    """Equal rows, and columns named as the operator's own, are dealt by place."""
+    table = spark.range(40_000).selectExpr("7L doc_id", "0 piece", "1500L length", "1L AS key", "2L AS bin", "3L AS at", "4 AS fill", "5 AS shard", "6L AS place")
+    found = packing.pack(table, 4096, shard_pieces=1000)
+    assert found.columns == [*table.columns, "sequence_id", "offset"]
+    rows = found.select("sequence_id", "offset", "length", "key", "bin").collect()
+    assert len(rows) == 40_000 and {(r["key"], r["bin"]) for r in rows} == {(1, 2)}
+    assert len({(r["sequence_id"] >> 32) % 40 for r in rows if r["sequence_id"] >> 56 == 0}) == 40
+    assert len({r["sequence_id"] for r in rows}) <= 20_000 + 40
