@@ -1,15 +1,16 @@
 """Quality rules: counts of each text, and lines that too many documents of a host share.
 
 Lines are normalized (lower case, digits to 0, single spaces) and hashed. For each host the
-distinct documents that have a line are counted, equal texts once. Lines above both limits, a
-number of documents and a share of the host's documents, are removed. A document that has too
-few words left, or too small a share of its words, is depleted and rejected.
+distinct documents that have a line are counted, equal texts once. Lines above both limits are
+removed: a share of the host's documents, which means the same for hosts and tables of every size,
+and MIN_DOCS documents, below which a share says nothing. A document that lost words and has too
+few left, or too small a share of its words, is depleted and rejected.
 
 A host has at most 1 / SHARE times the lines of its average document above the limit, so the
 removed lines are few; they are still joined without a broadcast, since hosts are many.
 
-Defined cases: a missing text has no words and fails the base rules; a missing host is one host;
-rows with missing or equal ids are separate rows.
+Defined cases: a missing text has no words and fails the base rules; a missing host is one host, the
+empty one another; rows with missing or equal ids are separate rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from calibrant.shipping import ship_package
 
 REPEAT_WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-MIN_DOCS, SHARE = 20, 0.1
+MIN_DOCS, SHARE = 4, 0.05
 MIN_WORDS_LEFT, MIN_SHARE_LEFT = 10, 0.3
 
 _SPACE, _SYMBOLS = b" \t\n\x0b\f\r", b"#*$%&|<>"
@@ -105,18 +106,19 @@ def measured(docs: DataFrame, host_col: str = "source", text_col: str = "text",
     return docs.select(
         place.alias("at"),
         F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
+        # A name has a mark ahead, so that the empty one is not the missing one.
+        F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).mapInArrow(run, _SCHEMA)
 
 
 def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """`host` and `line` of lines in more than `min_docs` documents and that share of the host's."""
+    """`host` and `line` of lines in at least `min_docs` documents and more than that share of the host's."""
     contents = rows.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     # Distinct first, by all three columns, so that no line's documents meet in one task.
     having = rows.select("host", "content", F.explode("lines.line").alias("line")).distinct()
     counted = having.groupBy("host", "line").agg(F.count(F.lit(1)).alias("line_docs"))
-    often = counted.where(F.col("line_docs") > min_docs).join(contents, "host")
+    often = counted.where(F.col("line_docs") >= min_docs).join(contents, "host")
     return often.where(F.col("line_docs") > share * F.col("host_docs")).select("host", "line")
 
 
@@ -124,7 +126,7 @@ def judge(
     docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE,
     min_words_left: int = MIN_WORDS_LEFT, min_share_left: float = MIN_SHARE_LEFT,
 ) -> DataFrame:
-    """Per row: locator, doc_id, the counts, base_failed, n_removed_words, removed_lines, kept."""
+    """Per row: locator, doc_id, the counts, base_failed, n_removed_words, removed_lines, depleted, kept."""
     rows = stored(measured(docs, host_col), "line-counts")
     lines = rows.select("at", "host", F.inline("lines"))
     removed = (
@@ -138,7 +140,8 @@ def judge(
     left = F.col("n_words") - gone
     depleted = (gone > 0) & ((left < min_words_left) | (left < min_share_left * F.col("n_words")))
     return rows.select("at", "doc_id", *counts).join(removed, "at", "left").select(
-        "at", "doc_id", *counts, failed.alias("base_failed"), gone.alias("n_removed_words"), "removed_lines", (~failed & ~depleted).alias("kept")
+        "at", "doc_id", *counts, failed.alias("base_failed"), gone.alias("n_removed_words"), "removed_lines",
+        depleted.alias("depleted"), (~failed & ~depleted).alias("kept"),
     )
 
 

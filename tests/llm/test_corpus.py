@@ -307,20 +307,60 @@ def test_counts_of_each_text(as_table):
 
 
 def test_lines_that_many_documents_of_a_host_share(as_table, empty):
-    body = lambda i: " ".join(f"w{i}x{k}" for k in range(25))
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    body = lambda i: " ".join(f"w{letters(i)}x{k}" for k in range(25))
     rows = [(i, f"Visit  page {100 + i} now\n{body(i)}", "en", "busy") for i in range(30)]
-    rows += [(100 + i, f"Visit page {100 + i} now\n{body(100 + i)}", "en", "calm") for i in range(5)]
+    rows += [(100 + i, f"Visit page {100 + i} now\n{body(100 + i)}", "en", "calm") for i in range(3)]
+    rows += [(110 + i, body(110 + i), "en", "calm") for i in range(5)]
     rows += [(200, "\n".join(["visit page 777 now"] * 6 + ["only these are left"]), "en", "busy"), (201, None, "en", None)]
     table = as_table(rows)
     got = {r["doc_id"]: r for r in quality_rules.judge(table).collect()}
     assert all(got[i]["n_removed_words"] == 4 and got[i]["kept"] for i in range(30))
-    assert all(got[100 + i]["n_removed_words"] == 0 and got[100 + i]["kept"] for i in range(5))
-    assert got[200]["n_removed_words"] == 24 and not got[200]["kept"] and not got[201]["kept"]
+    assert all(got[100 + i]["n_removed_words"] == 0 and got[100 + i]["kept"] for i in range(3))
+    assert got[200]["n_removed_words"] == 24 and got[200]["depleted"] and not got[200]["kept"] and not got[201]["kept"]
     cleaned = {r["doc_id"]: r["text"] for r in quality_rules.cleaned_documents(table).collect()}
     assert cleaned[3] == body(3) and cleaned[102].startswith("Visit page 102 now\n") and 200 not in cleaned
     assert quality_rules.judge(empty).collect() == []
 
 
+def brute_lines(rows):
+    """Removed words and whether the document is depleted, per row, with the registered limits."""
+    normal = lambda line: re.sub(r"\d", "0", " ".join(line.lower().split()))
+    lines = [[x for x in (t or "").split("\n") if WORD.search(x)] for _, t, _, _ in rows]
+    docs, having = defaultdict(set), defaultdict(set)
+    for (_, text, _, host), own in zip(rows, lines):
+        docs[host].add(text or "")
+        for line in own:
+            having[host, normal(line)].add(text or "")
+    out = []
+    for (doc_id, text, _, host), own in zip(rows, lines):
+        often = lambda line: len(having[host, line]) >= 4 and len(having[host, line]) > 0.05 * len(docs[host])
+        gone = sum(len(WORD.findall(x)) for x in own if often(normal(x)))
+        n = len(WORD.findall(text or ""))
+        depleted = gone > 0 and (n - gone < 10 or n - gone < 0.3 * n)
+        out.append((doc_id, gone, depleted, not brute_counts(text)[-1] and not depleted))
+    return ordered(out)
+
+
+@pytest.mark.parametrize("size", [60, 600])
+def test_frequent_lines_equal_brute_force(as_table, size):
+    """Random hosts and lines; whatever the size, documents of nothing but a host's boilerplate go."""
+    draw = random.Random(size)
+    hosts = ["a.org", "b.org", "", None]
+    shared = {h: [" ".join(f"{h}s{draw.randint(0, 10**6)}" for _ in range(draw.randint(3, 12))) for _ in range(6)] for h in hosts}
+    rows = []
+    for i in range(size):
+        host = draw.choice(hosts)
+        own = [" ".join(f"x{draw.randint(0, 10**6)}" for _ in range(draw.randint(1, 12))) for _ in range(draw.randint(0, 8))]
+        own += [line.upper() if draw.random() < 0.3 else f" {line} " for line in shared[host] if draw.random() < 0.25]
+        draw.shuffle(own)
+        rows.append((i, "\n".join(own) if draw.random() < 0.95 else None, "en", host))
+    rows += [(1000 + k, "\n".join(shared[h] * 2), "en", h) for k, h in enumerate(hosts)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(as_table(rows)).collect()}
+    assert ordered((i, r["n_removed_words"], r["depleted"], r["kept"]) for i, r in got.items()) == brute_lines(rows)
+    assert all(got[1000 + k]["depleted"] and not got[1000 + k]["kept"] for k in range(4))
+
+
 # --- quality classifier
 
 
