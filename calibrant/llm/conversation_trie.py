@@ -268,6 +268,7 @@ def end_digests(ends: DataFrame) -> DataFrame:
         if digest:
             yield done()
 
+    ship_package(ends.sparkSession)
     joined = ends.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(
         runs, "key binary, first long, ids string"
     )

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from calibrant.llm.common import documents, ids_crc32, slices, spread
 from calibrant.llm.word_tokens import IdStore
+from calibrant.shipping import ship_package
 
 SPACE = "▁"
 # Words and pairs that a worker remembers; full tables are emptied.
@@ -341,6 +342,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             texts = [decoder.decode(np.array(ids, np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], schema=out)
 
+    ship_package(encoded.sparkSession)
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 

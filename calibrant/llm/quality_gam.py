@@ -191,9 +191,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 ["doc_id", "quality", "features"],
             )
 
-    # At most `rows` small rows on either side of the broadcast and back to the driver.
+    # At most `rows` small rows on either side of the broadcast and back to the driver: of documents
+    # that repeat an id, one teaches.
     sample = documents(docs).join(F.broadcast(chosen), "doc_id")
-    found = sorted(map(tuple, sample.mapInArrow(run, "doc_id long, quality int, features array<double>").collect()))
+    measured = sample.mapInArrow(run, "doc_id long, quality int, features array<double>")
+    found = sorted(map(tuple, measured.groupBy("doc_id", "quality").agg(F.min("features")).collect()))
     return fit(np.array([r[2] for r in found]).reshape(-1, len(FEATURES)), np.array([r[1] for r in found], float))
 
 

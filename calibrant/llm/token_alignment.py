@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from calibrant.llm.common import documents, slices, spread, stored
+from calibrant.shipping import ship_package
 
 SPACE = "▁"
 # Pairs outside the identity map whose counts are sent to all tasks, and distinct pieces and
@@ -374,6 +375,7 @@ def same_counts(aligned: DataFrame, ids: int) -> DataFrame:
         a = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(count[a])], ["a", "n"])
 
+    ship_package(aligned.sparkSession)
     return aligned.select("same").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from calibrant.llm.common import documents, ids_crc32, slices
 from calibrant.llm.word_tokens import END_ID, word_tokens
+from calibrant.shipping import ship_package
 
 SEGMENT_TOKENS = 1 << 20
 _BLOCK = 512
@@ -131,7 +132,8 @@ def write_token_file(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow_schema = to_arrow_schema(spark.createDataFrame([], FILE_SCHEMA).schema)
-    ordered = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The start of the text is a key too, so that documents with one id, or none, are spread.
+    ordered = documents(docs).repartitionByRange("doc_id", F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(write, FILE_SCHEMA).write.parquet(folder)
 
 
@@ -154,6 +156,7 @@ def shard_starts(spark: SparkSession, folder: str) -> dict[int, int]:
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's place among all ids, its length and the checksum of its ids, from the files."""
+    ship_package(spark)
     starts = shard_starts(spark, folder)
     out = pa.schema(
         [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]

@@ -352,7 +352,7 @@ def test_frequent_lines_equal_brute_force(as_table, size):
     for i in range(size):
         host = draw.choice(hosts)
         own = [" ".join(f"x{draw.randint(0, 10**6)}" for _ in range(draw.randint(1, 12))) for _ in range(draw.randint(0, 8))]
-        own += [line.upper() if draw.random() < 0.3 else f" {line} " for line in shared[host] if draw.random() < 0.25]
+        own += [line.upper() if draw.random() < 0.3 else f" {line} " for line in shared[host] if draw.random() < 0.6]
         draw.shuffle(own)
         rows.append((i, "\n".join(own) if draw.random() < 0.95 else None, "en", host))
     rows += [(1000 + k, "\n".join(shared[h] * 2), "en", h) for k, h in enumerate(hosts)]
