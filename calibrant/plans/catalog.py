@@ -78,12 +78,12 @@ def live_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_record_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The running record with the season shares that come from its totals dropped again."""
-    return _record(R.running_record(games(spark, sf_dir), with_seasons=True))
+    """The running record beside the shares of the whole season and of the season before, from its totals."""
+    return _record(R.running_record(games(spark, sf_dir), with_seasons=True), "current_avg", "prev_avg")
 
 
-def _record(rows: DataFrame) -> DataFrame:
-    return rows.select("game_id", "side", "season", "team", "date", "wins", "losses", "win_pct")
+def _record(rows: DataFrame, *shares: str) -> DataFrame:
+    return rows.select("game_id", "side", "season", "team", "date", "wins", "losses", "win_pct", *shares)
 
 
 def _picked(rated: DataFrame, pick) -> DataFrame:

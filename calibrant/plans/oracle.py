@@ -298,7 +298,11 @@ def oracle_sql() -> dict[str, str]:
             recursive=True,
         ),
         "live_record": _with([*base, SIDES, LIVE], live),
-        "live_record_split": _with([*base, SIDES, LIVE], live),
+        "live_record_split": _with(
+            [*base, SIDES, LIVE, SEASONS],
+            "SELECT game_id, side, season, team, date, wins, losses, win_pct, current_avg, prev_avg "
+            "FROM live JOIN seasons USING (season, team)",
+        ),
         "team_season_pct": _with([*base, SIDES, SEASONS], "SELECT * FROM seasons"),
         "log5": _with(
             rated,
