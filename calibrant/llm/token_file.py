@@ -9,7 +9,9 @@ decoding its neighbors.
 A file row is a segment: whole documents in ascending order of id, about SEGMENT_TOKENS ids.
 Spark writes the rows as Parquet with binary columns, so files appear only when their task has
 succeeded, and any store that Spark reaches will do. Missing document ids come first; documents
-with the same id are ordered by their text.
+with the same id are ordered by their text. Any number of rows may lack an id: they are dealt over
+the shards by the start of their text. Rows that share an id, or that have none and start with
+the same _START characters, are written by one task. An empty text has only the end id, if there is one.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from calibrant.shipping import ship_package
 
 SEGMENT_TOKENS = 1 << 20
 _BLOCK = 512
+# Characters by which rows without an id are dealt; they agree with the order of the whole texts.
+_START = 64
 
 FILE_SCHEMA = (
     "shard int, segment int, first_token long, n_tokens long, doc_ids array<long>, doc_ends array<long>,"
@@ -132,7 +136,9 @@ def write_token_file(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow_schema = to_arrow_schema(spark.createDataFrame([], FILE_SCHEMA).schema)
-    ordered = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Only for rows without an id, so that tables with ids sample and compare nothing but these.
+    start = F.when(F.col("doc_id").isNull(), F.substring("text", 1, _START))
+    ordered = documents(docs).repartitionByRange("doc_id", start).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(write, FILE_SCHEMA).write.parquet(folder)
 
 

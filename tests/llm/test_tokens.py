@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from odd_rows import ODD
+from pyspark.sql import functions as F
 
 from calibrant.llm import packing, pieces, token_counts, token_file
 from calibrant.llm.common import stored
@@ -82,6 +83,29 @@ def test_token_file_round_trip(spark, odd, empty, library):
     assert token_file.read_documents(spark, folder).collect() == []
 
 
+def test_rows_without_an_id_are_spread_over_shards(spark, as_table, library):
+    """They come first, by text, whatever the rest of the table holds."""
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abcé中 ") for _ in range(draw.randint(0, 90))) for _ in range(600)]
+    rows = [(None, t) for t in texts] + [(i, f"row {i}") for i in range(-20, 300)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    table, folder = as_table(rows), shared_folder(spark, "tokens")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # the table is small
+    try:
+        token_file.write_token_file(table, folder, WORDS, segment_tokens=200)
+    finally:
+        spark.conf.unset(coalesce)
+    place, expected = 0, []
+    for doc_id, text in order:
+        ids = library.encode(text, add_special_tokens=False).ids + [1]
+        expected.append((doc_id, place, len(ids), crc(ids)))
+        place += len(ids)
+    assert sorted(map(tuple, token_file.read_documents(spark, folder).collect()), key=lambda r: r[1]) == expected
+    shards = spark.read.parquet(folder).where("doc_ids[0] IS NULL").groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()
+    assert len(shards) >= 4 and max(r["n"] for r in shards) < place / 3
+
+
 def test_counts_of_odd_rows(odd, empty, library):
     rows = sorted(map(tuple, token_counts.count_tokens(odd, WORDS, limit=7).collect()), key=repr)
     expected = []
